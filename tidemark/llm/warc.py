@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import cut
+
 MIN_REVISIT = 100
 FILE_RECORDS = 15_000
 DATE = "2024-01-01T00:00:00Z"
@@ -175,5 +177,9 @@ def page_captures(captures: DataFrame) -> DataFrame:
         "capture_id", F.when(field != "", field).cast("bigint").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"),
         F.col("response.payload_digest").alias("payload_digest"), F.col("response.record_type").alias("record_type"), F.col("response.refers_to").alias("original"),
     )
+    flat = cut(flat, "captures")
     ids = flat.where("record_type = 'response'").select(F.col("capture_id").alias("original"), F.col("page_id").alias("refers_to"))
-    return flat.join(ids, "original", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "capture_id")
+    out = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "capture_id"]
+    # only captures that refer to one are joined: the others would all meet at the null key
+    alone = flat.where("original is null").withColumn("refers_to", F.lit(None).cast(ids.schema["refers_to"].dataType))
+    return flat.where("original is not null").join(ids, "original", "left").select(*out).unionByName(alone.select(*out))
