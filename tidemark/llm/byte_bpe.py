@@ -1,12 +1,12 @@
 """Byte-level BPE by corpus-level merge replay.
 
-The distinct pieces of a stretch of the corpus form one symbol sequence with
-links to neighbours.  An inverted index maps each pair of adjacent symbols to its
-positions; a heap gives the pairs in rank order, each merge is applied at all its
-positions, and only the two neighbours of a merged place are looked up anew.  If
-a merge makes a pair of lower rank, the rest of the current pair waits, so every
-piece sees the merges in the order that it would alone.  Every batch of documents
-is such a stretch; finished pieces are kept in a bounded table.  No shuffle.
+The distinct new pieces of a stretch of the corpus (about STRETCH characters) form
+one symbol sequence with links to neighbours.  An inverted index maps each pair of
+adjacent symbols, by the rank of its merge, to its positions; a heap gives the pairs
+in rank order, each merge is applied at all its positions at once, and only the two
+neighbours of a merged place are looked up anew.  Where a merge makes a pair of
+lower rank than its own, that piece is done alone in strict order.  Finished pieces
+are kept in a bounded table.  No shuffle.
 
 Null texts are empty: no tokens.  Special tokens are ordinary text.
 """
@@ -19,11 +19,15 @@ import heapq
 import re
 import sys
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 KNOWN_PIECES = 400_000
+STRETCH = 6_000_000
+_SIDE = 1 << 24
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -69,113 +73,158 @@ class MergeReplay:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.of_rank = {rank: token for token, rank in ranks.items()}
-        self.bytes_ = [ranks[bytes([i])] for i in range(256)]
-        self.pairs: dict[tuple[int, int], int] = {}
-
-    def _rank_of(self, a: int, b: int) -> int:
-        """Rank of the joined symbol, or -1."""
-        found = self.pairs.get((a, b))
-        if found is None:
-            found = self.ranks.get(self.of_rank[a] + self.of_rank[b], -1)
-            if len(self.pairs) > 4 * KNOWN_PIECES:
-                self.pairs.clear()
-            self.pairs[a, b] = found
-        return found
+        self.symbol = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int64)
+        found = []
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                left = ranks.get(token[:i])
+                if left is not None and (right := ranks.get(token[i:])) is not None:
+                    found.append((left * _SIDE + right, rank))
+        found.sort()
+        #: every pair of symbols that a merge joins, and its rank
+        self.pairs = np.array([k for k, _ in found], dtype=np.int64)
+        self.pair_ranks = np.array([r for _, r in found], dtype=np.int64)
+
+    def _rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of symbols, or -1."""
+        key = left * _SIDE + right
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.pair_ranks[at], -1)
 
     def encode(self, pieces: Iterable[bytes]) -> list[list[int]]:
         """Token ids of each piece."""
         pieces = list(pieces)
-        out: list[list[int] | None] = [None] * len(pieces)
-        symbols: list[int] = []
-        after: list[int] = []
-        before: list[int] = []
-        heads: list[tuple[int, int]] = []
-        index: dict[int, list[int]] = {}
-        rank_of = self._rank_of
-        for i, piece in enumerate(pieces):
-            whole = self.ranks.get(piece)
-            if whole is not None:
-                out[i] = [whole]
+        whole = [self.ranks.get(p) for p in pieces]
+        split = [i for i, w in enumerate(whole) if w is None and pieces[i]]
+        out: list[list[int]] = [[] if w is None else [w] for w in whole]
+        if not split:
+            return out
+        sizes = np.array([len(pieces[i]) for i in split])
+        symbols = self.symbol[np.frombuffer(b"".join([pieces[i] for i in split]), dtype=np.uint8)]
+        piece = np.repeat(np.arange(len(split)), sizes)
+        n = len(symbols)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        ends = np.cumsum(sizes)
+        after[ends - 1] = -1
+        before[ends - sizes] = -1
+        alive, odd = np.ones(n, dtype=bool), np.zeros(len(split), dtype=bool)
+        index: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def enter(places: np.ndarray) -> np.ndarray:
+            """Puts the pairs that begin at the places into the index; their ranks."""
+            rank = self._rank_of(symbols[places], symbols[after[places]])
+            joined = np.flatnonzero(rank >= 0)
+            order = joined[np.argsort(rank[joined], kind="stable")]
+            ranked = rank[order]
+            cuts = np.flatnonzero(np.diff(ranked)) + 1
+            for part in np.split(order, cuts) if len(order) else []:
+                r = int(rank[part[0]])
+                if r not in index:
+                    index[r] = []
+                    heapq.heappush(heap, r)
+                index[r].append(places[part])
+            return rank
+
+        enter(np.flatnonzero(after >= 0))
+        while heap:
+            rank = heapq.heappop(heap)
+            held = index.pop(rank)
+            places = np.unique(np.concatenate(held)) if len(held) > 1 else held[0]
+            places = places[alive[places] & (after[places] >= 0)]
+            places = places[self._rank_of(symbols[places], symbols[after[places]]) == rank]
+            if not len(places):
                 continue
-            start = len(symbols)
-            heads.append((i, start))
-            symbols += [self.bytes_[c] for c in piece]
-            end = len(symbols)
-            before += [-1, *range(start, end - 1)] if piece else []
-            after += [*range(start + 1, end), -1] if piece else []
-            for at in range(start, end - 1):
-                rank = rank_of(symbols[at], symbols[at + 1])
-                if rank >= 0:
-                    index.setdefault(rank, []).append(at)
-        heap = list(index)
+            # of pairs that overlap in a run, the first, third, ... merge
+            linked = np.concatenate([[False], after[places[:-1]] == places[1:]])
+            if linked.any():
+                step = np.arange(len(places))
+                places = places[(step - np.maximum.accumulate(np.where(linked, 0, step))) % 2 == 0]
+            right = after[places]
+            beyond = after[right]
+            symbols[places] = rank
+            alive[right] = False
+            after[places] = beyond
+            inner = beyond >= 0
+            before[beyond[inner]] = places[inner]
+            left = before[places]
+            touched = np.unique(np.concatenate([left[left >= 0], places[inner]]))
+            if len(touched):
+                made = enter(touched)
+                lower = touched[(made >= 0) & (made < rank)]
+                odd[piece[lower]] = True
+        ids = symbols[alive].tolist()
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(piece[alive], minlength=len(split)))]).tolist()
+        for j, i in enumerate(split):
+            out[i] = ids[bounds[j] : bounds[j + 1]]
+        for j in np.flatnonzero(odd):
+            out[split[j]] = self.encode_alone(pieces[split[j]])
+        return out
+
+    def encode_alone(self, piece: bytes) -> list[int]:
+        """One piece by its merges in strict order: for pieces where a merge makes a pair of lower rank."""
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        after, before = [*range(1, len(parts)), -1], [-1, *range(len(parts) - 1)]
+        heap = [(r, i) for i in range(len(parts) - 1) if (r := self.ranks.get(parts[i] + parts[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            rank = heapq.heappop(heap)
-            places = index.pop(rank, None)
-            if places is None:
+            rank, at = heapq.heappop(heap)
+            right = after[at]
+            if not parts[at] or right < 0 or self.ranks.get(parts[at] + parts[right]) != rank:
                 continue
-            places.sort()
-            for n, at in enumerate(places):
-                right = after[at]
-                if right < 0 or symbols[at] < 0 or rank_of(symbols[at], symbols[right]) != rank:
-                    continue
-                symbols[at] = rank
-                symbols[right] = -1
-                beyond = after[at] = after[right]
-                if beyond >= 0:
-                    before[beyond] = at
-                lower = False
-                for left, other in ((before[at], at), (at, beyond)):
-                    if left >= 0 and other >= 0:
-                        made = rank_of(symbols[left], symbols[other])
-                        if made >= 0:
-                            known = index.get(made)
-                            if known is None:
-                                index[made] = [left]
-                                heapq.heappush(heap, made)
-                            else:
-                                known.append(left)
-                            lower |= made < rank
-                if lower and n + 1 < len(places):
-                    index.setdefault(rank, []).extend(places[n + 1 :])
-                    heapq.heappush(heap, rank)
-                    break
-        for i, at in heads:
-            ids = []
-            while at >= 0 and at < len(symbols) and len(pieces[i]):
-                ids.append(symbols[at])
-                at = after[at]
-            out[i] = ids
-        return out  # type: ignore[return-value]
+            parts[at] += parts[right]
+            parts[right] = b""
+            after[at] = after[right]
+            if after[at] >= 0:
+                before[after[at]] = at
+            for low, high in ((before[at], at), (at, after[at])):
+                if low >= 0 and high >= 0 and (made := self.ranks.get(parts[low] + parts[high])) is not None:
+                    heapq.heappush(heap, (made, low))
+        return [self.ranks[p] for p in parts if p]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.of_rank.__getitem__, ids))
 
 
+def _stretches(texts: list[str | None]) -> Iterator[slice]:
+    """Consecutive texts of about STRETCH characters."""
+    start = held = 0
+    for i, text in enumerate(texts):
+        held += len(text or "")
+        if held >= STRETCH:
+            yield slice(start, i + 1)
+            start, held = i + 1, 0
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
 def _coder(ranks: dict[bytes, int], patterns: tuple[str, str], with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replay, split = MergeReplay(ranks), splitter(patterns)
-        known: dict[str, tuple[int, str, bytes]] = {}
-        count, text_of, data_of = (lambda x: x[0]), (lambda x: x[1]), (lambda x: x[2])
+        name_of = {rank: str(rank) for rank in replay.of_rank}.__getitem__
+        text_of: dict[str, str] = {}
+        data_of: dict[str, bytes] = {}
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                split_texts = [split(t) if t else [] for t in part.column("text").to_pylist()]
-                if len(known) > KNOWN_PIECES:
-                    known.clear()
-                fresh = list({p for pieces in split_texts for p in pieces if p not in known})
-                for piece, ids in zip(fresh, replay.encode(p.encode() for p in fresh), strict=True):
-                    known[piece] = len(ids), " ".join(map(str, ids)), replay.decode(ids)
+            every = batch.column("text").to_pylist()
+            for part in _stretches(every):
+                split_texts = [split(t) if t else [] for t in every[part]]
+                if len(text_of) > KNOWN_PIECES:
+                    text_of.clear()
+                    data_of.clear()
+                fresh = list(set(chain.from_iterable(split_texts)).difference(text_of))
+                for piece, ids in zip(fresh, replay.encode([p.encode() for p in fresh]), strict=True):
+                    text_of[piece] = " ".join(map(name_of, ids))
+                    data_of[piece] = replay.decode(ids)
                 n, ids_sha, text_sha, ids_out = [], [], [], []
                 for pieces in split_texts:
-                    found = list(map(known.__getitem__, pieces))
-                    joined = " ".join(map(text_of, found))
-                    n.append(sum(map(count, found)))
+                    joined = " ".join(map(text_of.__getitem__, pieces))
+                    n.append(joined.count(" ") + 1 if joined else 0)
                     ids_sha.append(hashlib.sha256(joined.encode()).hexdigest())
-                    text_sha.append(hashlib.sha256(b"".join(map(data_of, found))).hexdigest())
+                    text_sha.append(hashlib.sha256(b"".join(map(data_of.__getitem__, pieces))).hexdigest())
                     if with_ids:
                         ids_out.append([int(i) for i in joined.split()])
-                arrays = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+                own = batch.column("doc_id").slice(part.start, part.stop - part.start)
+                arrays = [own, pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
                     arrays.append(pa.array(ids_out, pa.list_(pa.int32())))
