@@ -25,8 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-KNOWN_PIECES = 400_000
-STRETCH = 6_000_000
+KNOWN_PIECES = 300_000
+STRETCH = 4_000_000
 _SIDE = 1 << 24
 
 

@@ -19,6 +19,7 @@ alone; without any labelled rows of both classes every score is 0.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from zlib import crc32
 
@@ -31,10 +32,10 @@ WINDOW, STRIDE = 64, 32
 WORD_ROWS, CHAR_ROWS, WIDTH, HIDDEN, ATTENTION = 1 << 15, 1 << 15, 8, 8, 8
 INPUT = 2 * WIDTH
 TOXIC, CLEAN = 1500, 2500
-TRAIN_CHARS = 50_000
+TRAIN_CHARS = 30_000
 TRAIN_WINDOWS = 8
-EPOCHS = 3
-KNOWN_WORDS = 400_000
+EPOCHS, STEPS = 3, 300
+KNOWN_WORDS = 250_000
 GROUP = 512
 
 _words = re.compile(r"[^\W_]+").findall
@@ -55,6 +56,29 @@ def features_of(word: str) -> tuple[int, list[int]]:
     return crc32(data) & (WORD_ROWS - 1), [crc32(p) & (CHAR_ROWS - 1) for p in pieces]
 
 
+class Features:
+    """Table rows of many words in flat arrays: word, and char[start[i]:start[i + 1]]."""
+
+    def __init__(self, word: np.ndarray, char: np.ndarray, start: np.ndarray):
+        self.word, self.char, self.start = word, char, start
+
+    @classmethod
+    def of(cls, words: Iterable[str]) -> Features:
+        word, char, start = array("i"), array("i"), array("q", [0])
+        for w in words:
+            row, pieces = features_of(w)
+            word.append(row)
+            char.extend(pieces)
+            start.append(len(char))
+        return cls(np.array(word, dtype=np.int64), np.array(char, dtype=np.int64), np.array(start))
+
+    def take(self, rows: np.ndarray) -> Features:
+        sizes = np.diff(self.start)[rows]
+        start = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.arange(start[-1]) + np.repeat(self.start[rows] - start[:-1], sizes)
+        return Features(self.word[rows], self.char[at], start)
+
+
 def summed_by(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct keys, sums of their rows)."""
     order = np.argsort(keys, kind="stable")
@@ -92,15 +116,12 @@ class Network:
             self.p[f"c{d}"] = np.zeros(3 * HIDDEN, dtype=np.float32)
         self.p |= {"wa": normal(2 * HIDDEN, ATTENTION, scale=0.4), "va": normal(ATTENTION, scale=0.5), "wo": normal(2 * HIDDEN, scale=0.4), "bo": np.full(1, -1.0, dtype=np.float32)}
 
-    def inputs(self, features: list[tuple[int, list[int]]]) -> np.ndarray:
+    def inputs(self, features: Features) -> np.ndarray:
         """Input vector of each word."""
-        if not features:
+        if not len(features.word):
             return np.zeros((0, INPUT), dtype=np.float32)
-        word = self.p["word"][[w for w, _ in features]]
-        sizes = np.array([len(c) for _, c in features])
-        flat = self.p["char"][np.concatenate([c for _, c in features])]
-        char = np.add.reduceat(flat, np.concatenate([[0], np.cumsum(sizes)[:-1]])) / sizes[:, None].astype(np.float32)
-        return np.concatenate([word, char], axis=1)
+        char = np.add.reduceat(self.p["char"][features.char], features.start[:-1]) / np.diff(features.start)[:, None].astype(np.float32)
+        return np.concatenate([self.p["word"][features.word], char], axis=1)
 
     def projected(self, inputs: np.ndarray) -> list[np.ndarray]:
         """Each direction's input terms by word."""
@@ -179,17 +200,16 @@ def trained(texts: list[str], labels: list[int], seed: int = 5) -> Network | Non
     net, rng = Network(seed), np.random.default_rng(seed)
     place: dict[str, int] = {}
     documents = [np.array([place.setdefault(w, len(place)) for w in words_of(t)], dtype=np.int64) for t in texts]
-    features = [features_of(w) for w in place]
+    features = Features.of(place)
+    pad = len(place)
+    del place
     _start_from_odds(net, documents, features, y)
-    pad = len(features)
-    sizes = np.array([len(c) for _, c in features] or [1])
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    flat = np.concatenate([c for _, c in features]) if features else np.zeros(0, dtype=np.int64)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items() if k not in ("word", "char")}
     squares = {k: np.full(len(net.p[k]), 1e-4, dtype=np.float32) for k in ("word", "char")}
     balance = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) ** 0.5
     step = 0
-    for epoch in range(EPOCHS):
+    # small samples are read more often
+    for epoch in range(max(EPOCHS, min(4 * EPOCHS, STEPS * 64 // len(documents)))):
         order = rng.permutation(len(documents))
         for at in range(0, len(order), 64):
             chosen, parts, owner = order[at : at + 64], [], []
@@ -203,13 +223,14 @@ def trained(texts: list[str], labels: list[int], seed: int = 5) -> Network | Non
             live = index != pad
             used, local = np.unique(index, return_inverse=True)
             local = local.reshape(index.shape)
-            inputs = net.inputs([features[k] for k in used if k != pad])
+            some = features.take(used[used != pad])
+            inputs = net.inputs(some)
             if used[-1] == pad:
                 inputs = np.concatenate([inputs, np.zeros((1, INPUT), dtype=np.float32)])
             terms, keep = [x[local] for x in net.projected(inputs)], {}
             logit = net.forward(terms, live, keep)
             # share of each window in its document: a soft maximum, harder with each epoch
-            sharp = 1.0 + epoch
+            sharp = 1.0 + min(epoch, EPOCHS)
             share = np.exp(sharp * (logit - logit.max()))
             total = np.bincount(own, share, len(chosen))
             share = (share / total[own]).astype(np.float32)
@@ -225,22 +246,21 @@ def trained(texts: list[str], labels: list[int], seed: int = 5) -> Network | Non
                 d_inputs += by_word @ net.p[f"x{d}"].T
             step += 1
             _adam(net, grads, moments, step)
-            real = used[used != pad]
-            if len(real):
-                d_word, d_char = d_inputs[: len(real), :WIDTH], d_inputs[: len(real), WIDTH:] / sizes[real, None]
-                _adagrad(net.p["word"], squares["word"], np.array([features[k][0] for k in real]), d_word)
-                rows = np.concatenate([flat[starts[k] : starts[k + 1]] for k in real])
-                _adagrad(net.p["char"], squares["char"], rows, np.repeat(d_char, sizes[real], axis=0))
+            real = len(some.word)
+            if real:
+                sizes = np.diff(some.start)
+                _adagrad(net.p["word"], squares["word"], some.word, d_inputs[:real, :WIDTH])
+                _adagrad(net.p["char"], squares["char"], some.char, np.repeat(d_inputs[:real, WIDTH:] / sizes[:, None], sizes, axis=0))
     return net
 
 
-def _start_from_odds(net: Network, documents: list[np.ndarray], features: list, y: np.ndarray) -> None:
+def _start_from_odds(net: Network, documents: list[np.ndarray], features: Features, y: np.ndarray) -> None:
     """The first value of each embedding starts as the shrunk log odds of its documents being toxic."""
-    for name, rows in (("word", [[w] for w, _ in features]), ("char", [c for _, c in features])):
+    for name in ("word", "char"):
         counts = np.zeros((2, len(net.p[name])), dtype=np.float64)
         for ids, label in zip(documents, y, strict=True):
-            seen = np.unique(np.concatenate([rows[i] for i in np.unique(ids)])) if len(ids) else []
-            counts[int(label), seen] += 1
+            some = features.take(np.unique(ids))
+            counts[int(label), np.unique(getattr(some, name))] += 1
         clean, toxic = (1 - y).sum(), y.sum()
         odds = np.log((counts[1] + 1) / (toxic + 2)) - np.log((counts[0] + 1) / (clean + 2))
         total = counts.sum(axis=0)
@@ -280,7 +300,7 @@ class Scorer:
     def _learn(self, fresh: list[str]) -> None:
         for i in range(0, len(fresh), 20_000):
             part = fresh[i : i + 20_000]
-            made = self.net.projected(self.net.inputs([features_of(w) for w in part]))
+            made = self.net.projected(self.net.inputs(Features.of(part)))
             end = self.filled + len(part)
             for d in (0, 1):
                 if end > len(self.tables[d]):
