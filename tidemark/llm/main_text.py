@@ -45,6 +45,8 @@ CHROME_WORDS = frozenset(
     "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments disqus reply replies share sharing social related recommended "
     "newsletter subscribe subscription popup modal overlay widget toolbar pagination pager login signin signup search hidden".split()
 )
+ARTICLE_WORDS = frozenset("ad ads advert adverts advertisement sponsored promo related comment comments reply replies".split())
+LAYOUT_PREFIXES = frozenset("has no with without".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 
 _token = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
@@ -55,14 +57,17 @@ _part = re.compile(r"[a-z]+")
 def _is_chrome(name: str, attributes: str, in_main: bool) -> bool:
     if name in CHROME or (name == "header" and not in_main):
         return True
-    if not attributes.strip() or name in ("html", "body", "article", "main"):
+    if not attributes.strip() or name in ("html", "body", "main"):
         return False
+    telling = ARTICLE_WORDS if name == "article" else CHROME_WORDS
     for key, a, b, c in _attribute.findall(attributes):
         key, value = key.lower(), (a or b or c).lower()
         if key in ("class", "id"):
-            words = _part.findall(value)
-            if not CHROME_WORDS.isdisjoint(words) or ("header" in words and not in_main):
-                return True
+            for words in map(_part.findall, value.split()):
+                if words and words[0] in LAYOUT_PREFIXES:
+                    continue  # has-sidebar and the like speak of the page, not of the element
+                if not telling.isdisjoint(words) or ("header" in words and not in_main and name != "article"):
+                    return True
         elif key == "role" and value in CHROME_ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
             return True
         elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -183,7 +188,7 @@ def suffix_runs(tokens: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.nd
     while width < RUN:
         step = min(width, RUN - width)
         following = np.zeros(n, dtype=np.int64)
-        following[: n - step] = rank[step:] + 1
+        following[: max(0, n - step)] = rank[step:] + 1
         rank = np.unique(rank * (n + 2) + following, return_inverse=True)[1].astype(np.int64)
         width += step
     order = np.lexsort((page, rank))  # the suffix array, pages in order inside equal prefixes
@@ -203,7 +208,7 @@ def gram_hashes(tokens: np.ndarray) -> np.ndarray:
     out, whole = np.zeros(n, dtype=np.uint64), np.ones(n, dtype=bool)
     for i in range(RUN):
         part = np.zeros(n, dtype=np.uint64)
-        part[: n - i] = tokens[i:]
+        part[: max(0, n - i)] = tokens[i:]
         out = out * np.uint64(0x9E3779B97F4A7C15) + part
         whole &= part != 0
     return np.where(whole, mix(out) | np.uint64(1), np.uint64(0))
