@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark import functions as scalar
 from tidemark.dictionary import TemporalMap
 from tidemark.domain import BOUNDS, DATE, DOUBLE
 from tidemark.operators import algebra, flatten
@@ -257,7 +258,38 @@ _add(
 _JOIN = "SELECT a.key, b.value, greatest(a.lo, b.lo) AS lo, least(a.hi, b.hi) AS hi FROM {a} a JOIN {b} b ON a.value = b.key AND a.lo < b.hi AND b.lo < a.hi"
 _add("joined_to", lambda s, d: temporal_map(s, d, "orders").joined_to(temporal_map(s, d, "suppliers")).facts, f"WITH {_map('orders')}, {_map('suppliers', 'g')}, j AS ({_JOIN.format(a='f', b='g')}), {_co('o', 'j')} {FACTS} o")
 _add("self_joined", lambda s, d: temporal_map(s, d, "suppliers").self_joined().facts, f"WITH {_map('suppliers')}, g AS (SELECT value AS key, key AS value, lo, hi FROM f), j AS ({_JOIN.format(a='f', b='g')}), {_co('o', 'j')} {FACTS} o")
-_add("filled_join", lambda s, d: temporal_map(s, d, "orders").joined_to(temporal_map(s, d, "suppliers").fill_gaps().extend_into_gaps("both", 30)).facts, None)
+
+
+def _on(piece: str, facts: str, holes: str) -> str:
+    """A gap piece over other tables than f and h."""
+    return piece.replace("FROM h ", f"FROM {holes} h ").replace("JOIN f ", f"JOIN {facts} ")
+
+
+_FILLED = f"""{_map('suppliers', 'g0')}, {_gap('h1', 'g0')}, d1 AS ({FACTS} g0 UNION ALL {_pieces(_on(_BOTH, 'g0', 'h1'), None, 'fb')}), {_co('g1', 'd1')}, {_gap('h2', 'g1')},
+  d2 AS ({FACTS} g1 UNION ALL {_pieces(_on(_LEFT, 'g1', 'h2'), 30, 'f')} UNION ALL {_pieces(_on(_RIGHT, 'g1', 'h2'), 30, 'b')}), {_co('g', 'd2')}"""
+_add("filled_join", lambda s, d: temporal_map(s, d, "orders").joined_to(temporal_map(s, d, "suppliers").fill_gaps().extend_into_gaps("both", 30)).facts, f"WITH {_map('orders')}, {_FILLED}, j AS ({_JOIN.format(a='f', b='g')}), {_co('o', 'j')} {FACTS} o")
+
+# scalar functions, over each fact and the next one of its key
+
+
+def _scalars(s: SparkSession, d: str) -> DataFrame:
+    order = Window.partitionBy("key").orderBy("lo", "hi", "value")
+    rows = temporal_map(s, d, "status").facts.withColumn("lo2", F.lead("lo").over(order)).withColumn("hi2", F.lead("hi").over(order)).where("lo2 is not null")
+    a, b, c, e = (F.col(x) for x in ("lo", "hi", "lo2", "hi2"))
+    both, outer, gap, left, right = scalar.intersection(a, b, c, e), scalar.hull(a, b, c, e), scalar.between(b, c), scalar.left_remainder(a, b, c), scalar.right_remainder(a, b, e)
+    return rows.select(
+        "key", "lo", "hi", scalar.exclusive_less(b, c).alias("exclusive_less"), scalar.more_or_touches(b, c).alias("more_or_touches"), scalar.intersects(a, b, c, e).alias("intersects"),
+        scalar.touches(a, b, c, e).alias("touches"), scalar.contains(a, b, c, e).alias("contains"), scalar.length(a, b).alias("length"), scalar.lower_edge(a).alias("lower_edge"), scalar.upper_edge(b).alias("upper_edge"),
+        both[0].alias("both_lo"), both[1].alias("both_hi"), scalar.is_empty(*both).alias("both_empty"), outer[0].alias("hull_lo"), outer[1].alias("hull_hi"), gap[0].alias("gap_lo"), gap[1].alias("gap_hi"),
+        left[1].alias("left_hi"), right[0].alias("right_lo"),
+    )
+
+
+_add("interval_functions", _scalars, f"""WITH {_map('status')}, p AS (SELECT key, lo, hi, lead(lo) OVER w AS lo2, lead(hi) OVER w AS hi2 FROM f WINDOW w AS (PARTITION BY key ORDER BY lo, hi, value))
+  SELECT key, lo, hi, hi <= lo2 AS exclusive_less, hi >= lo2 AS more_or_touches, lo < hi2 AND lo2 < hi AS intersects, hi = lo2 OR hi2 = lo AS touches, lo <= lo2 AND hi >= hi2 AS contains, hi - lo AS length, lo AS lower_edge, hi - 1 AS upper_edge,
+  greatest(lo, lo2) AS both_lo, least(hi, hi2) AS both_hi, greatest(lo, lo2) >= least(hi, hi2) AS both_empty, least(lo, lo2) AS hull_lo, greatest(hi, hi2) AS hull_hi, hi AS gap_lo, lo2 AS gap_hi, least(hi, lo2) AS left_hi, greatest(lo, hi2) AS right_lo FROM p WHERE lo2 IS NOT NULL""")
+_add("value_sets", lambda s, d: _listed(temporal_map(s, d, "parts").facts.groupBy("key").agg(scalar.to_set(F.col("value")).alias("values"), F.sort_array(scalar.to_vector(F.col("value"))).alias("vector"), scalar.quantile(scalar.length(F.col("lo"), F.col("hi")), 1.0).alias("longest")), "values", "vector"), f"""WITH {_map('parts')}
+  SELECT key, (SELECT string_agg(CAST(v AS VARCHAR), ',' ORDER BY v) FROM (SELECT DISTINCT value AS v FROM f g WHERE g.key = f.key) x) AS "values", string_agg(CAST(value AS VARCHAR), ',' ORDER BY value) AS vector, max(hi - lo) AS longest FROM f GROUP BY key""")
 
 # flattening
 
