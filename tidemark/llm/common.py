@@ -26,8 +26,18 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes what this process has cut so far; results still to be read depend on it."""
+    while _written:
+        drop_path(spark, _written.pop())
 
 
 def cut(frame: DataFrame, name: str = "cut") -> DataFrame:
