@@ -154,6 +154,37 @@ def _region_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield links(keys, nodes, sigs)
 
 
+def _compare_stragglers(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links between a block of stragglers and a block of members of one region."""
+    few, all_ = rows[rows["few"]].drop_duplicates("node"), rows[~rows["few"]].drop_duplicates("node")
+    sig = np.frombuffer(b"".join(all_["sig"]), dtype=np.uint8).reshape(-1, BITS)
+    node, family = all_["node"].to_numpy(), all_["family"].to_numpy()
+    a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for one, own, s in zip(few["node"], few["family"], few["sig"], strict=True):
+        near = np.flatnonzero((family != own) & ((sig == np.frombuffer(s, dtype=np.uint8)).sum(axis=1) >= AGREE))
+        _, first = np.unique(family[near], return_index=True)  # one link to each other family joins them
+        a.append(np.full(len(first), one))
+        b.append(node[near[first]])
+    return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+
+def _straggler_links(crowd: DataFrame, families: DataFrame, sigs: DataFrame) -> DataFrame:
+    """What splitting a crowded region can miss: its members outside the region's largest
+    family are compared with all its members, block by block."""
+    known = crowd.join(families, "node", "left").withColumn("family", F.coalesce("family", "node"))
+    sizes = known.groupBy("head", "family").agg(F.count("*").alias("c"))
+    top = sizes.groupBy("head").agg(F.max_by("family", F.struct("c", "family")).alias("top"), F.sum("c").alias("m"), F.max("c").alias("most")).where("m > most")
+    blocks = lambda n: F.ceil(n / REGION).cast("int")
+    rows = known.drop("m").join(top, "head").withColumns({"all_blocks": blocks(F.col("m")), "few_blocks": blocks(F.col("m") - F.col("most"))}).join(sigs, "node")
+
+    def own(n: str):
+        return F.pmod(F.xxhash64("node"), n).cast("int")
+
+    members = rows.select("head", "node", "family", "sig", F.lit(False).alias("few"), own("all_blocks").alias("x"), F.explode(F.sequence(F.lit(0), F.col("few_blocks") - 1)).alias("y"))
+    stragglers = rows.where("family <> top").select("head", "node", "family", "sig", F.lit(True).alias("few"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("x"), own("few_blocks").alias("y"))
+    return members.unionByName(stragglers).groupBy("head", "x", "y").applyInPandas(_compare_stragglers, "a bigint, b bigint").distinct()
+
+
 def _sets_of(k: int, passed: bytes | None):
     """(c1, c2, values) of the rows that may be in a family; ``passed`` is a bitmap over c1."""
     bits = None if passed is None else np.frombuffer(passed, dtype=np.uint8)
@@ -219,6 +250,7 @@ def near_components(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (
     crowded = heads.groupBy("head").agg(F.count("*").alias("m")).where("m > 1")
     order = F.expr(f"substring(concat(sig, sig), (tree + 1) * {DEPTH} + 1, 16)")
     deeper = F.when(F.col("m") > REGION * 4096, 3).when(F.col("m") > REGION * 64, 2).when(F.col("m") > REGION, 1).otherwise(0)
+    crowd = heads.join(crowded.where(F.col("m") > REGION), "head").select("head", "m", "node")
     members = (
         heads.join(crowded, "head").join(nodes.select("node", "sig"), "node")
         .withColumn("order", order)
@@ -227,7 +259,12 @@ def near_components(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (
         .select("region", "node", "sig", "order")
         .repartition("region").sortWithinPartitions("region", "order", "node").select("region", "node", "sig")
     )
-    families = cut(components(members.mapInArrow(_region_links, "a bigint, b bigint")).withColumnRenamed("component", "family"), "families")
+    similar = cut(members.mapInArrow(_region_links, "a bigint, b bigint"), "similar")
+    families = cut(components(similar).withColumnRenamed("component", "family"), "families")
+    if not crowded.where(F.col("m") > REGION).isEmpty():
+        more = cut(_straggler_links(crowd, families, nodes.select("node", "sig")), "stragglers")
+        if not more.isEmpty():
+            families = cut(components(similar.unionByName(more)).withColumnRenamed("component", "family"), "families")
 
     named = families.join(nodes.select("node", "c1", "c2"), "node")
     blobs = rows.select("text").mapInArrow(_sets_of(k, _filter_of(named)), "c1 bigint, c2 bigint, blob binary")
