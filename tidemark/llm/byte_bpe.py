@@ -1,6 +1,6 @@
 """Byte-level BPE by corpus-level merge replay.
 
-The distinct new pieces of a stretch of the corpus (about STRETCH characters) form
+The distinct new pieces of a stretch of the corpus (about STRETCH bytes) form
 one symbol sequence with links to neighbours.  An inverted index maps each pair of
 adjacent symbols, by the rank of its merge, to its positions; a heap gives the pairs
 in rank order, each merge is applied at all its positions at once, and only the two
@@ -23,10 +23,13 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-KNOWN_PIECES = 300_000
-STRETCH = 4_000_000
+from tidemark.llm.common import tidy
+
+KNOWN_PIECES = 250_000
+STRETCH = 3_000_000
 _SIDE = 1 << 24
 
 
@@ -103,7 +106,7 @@ class MergeReplay:
         symbols = self.symbol[np.frombuffer(b"".join([pieces[i] for i in split]), dtype=np.uint8)]
         piece = np.repeat(np.arange(len(split)), sizes)
         n = len(symbols)
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         ends = np.cumsum(sizes)
         after[ends - 1] = -1
         before[ends - sizes] = -1
@@ -186,16 +189,17 @@ class MergeReplay:
         return b"".join(map(self.of_rank.__getitem__, ids))
 
 
-def _stretches(texts: list[str | None]) -> Iterator[slice]:
-    """Consecutive texts of about STRETCH characters."""
+def _stretches(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(start, end) of consecutive texts of about STRETCH bytes."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     start = held = 0
-    for i, text in enumerate(texts):
-        held += len(text or "")
+    for i, size in enumerate(sizes):
+        held += size
         if held >= STRETCH:
-            yield slice(start, i + 1)
+            yield start, i + 1
             start, held = i + 1, 0
-    if start < len(texts):
-        yield slice(start, len(texts))
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def _coder(ranks: dict[bytes, int], patterns: tuple[str, str], with_ids: bool):
@@ -205,9 +209,8 @@ def _coder(ranks: dict[bytes, int], patterns: tuple[str, str], with_ids: bool):
         text_of: dict[str, str] = {}
         data_of: dict[str, bytes] = {}
         for batch in batches:
-            every = batch.column("text").to_pylist()
-            for part in _stretches(every):
-                split_texts = [split(t) if t else [] for t in every[part]]
+            for start, end in _stretches(batch.column("text")):
+                split_texts = [split(t) if t else [] for t in batch.column("text").slice(start, end - start).to_pylist()]
                 if len(text_of) > KNOWN_PIECES:
                     text_of.clear()
                     data_of.clear()
@@ -223,13 +226,16 @@ def _coder(ranks: dict[bytes, int], patterns: tuple[str, str], with_ids: bool):
                     text_sha.append(hashlib.sha256(b"".join(map(data_of.__getitem__, pieces))).hexdigest())
                     if with_ids:
                         ids_out.append([int(i) for i in joined.split()])
-                own = batch.column("doc_id").slice(part.start, part.stop - part.start)
+                own = batch.column("doc_id").slice(start, end - start)
                 arrays = [own, pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
                     arrays.append(pa.array(ids_out, pa.list_(pa.int32())))
                     names.append("ids")
+                del split_texts, pieces, fresh
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
+        del replay, text_of, data_of
+        tidy()
 
     return run
 

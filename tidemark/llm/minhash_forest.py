@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, cut
+from tidemark.llm.common import components, cut, tidy
 from tidemark.llm.linking import exact_links, roots_of
 from tidemark.llm.words import mix, sequence_hash, shingle_hashes, word_hashes
 
@@ -103,6 +103,7 @@ def _describe(k: int):
                      pa.array([s.tobytes() for s in short], pa.binary())],
                     names=[*keep, "n", "c1", "c2", "heads", "sig"],
                 )
+        tidy()
 
     return run
 
@@ -202,6 +203,7 @@ def _sets_of(k: int, passed: bytes | None):
                             rows.append((a, b, values.tobytes()))
                 c1, c2, blob = zip(*rows, strict=True) if rows else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(blob, pa.binary())], names=["c1", "c2", "blob"])
+        tidy()
 
     return run
 
@@ -264,7 +266,8 @@ def near_components(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (
     if not crowded.where(F.col("m") > REGION).isEmpty():
         more = cut(_straggler_links(crowd, families, nodes.select("node", "sig")), "stragglers")
         if not more.isEmpty():
-            families = cut(components(similar.unionByName(more)).withColumnRenamed("component", "family"), "families")
+            stars = families.select(F.col("node").alias("a"), F.col("family").alias("b"))
+            families = cut(components(stars.unionByName(more)).withColumnRenamed("component", "family"), "families")
 
     named = families.join(nodes.select("node", "c1", "c2"), "node")
     blobs = rows.select("text").mapInArrow(_sets_of(k, _filter_of(named)), "c1 bigint, c2 bigint, blob binary")

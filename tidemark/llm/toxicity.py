@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import tidy
+
 WINDOW, STRIDE = 64, 32
 WORD_ROWS, CHAR_ROWS, WIDTH, HIDDEN, ATTENTION = 1 << 15, 1 << 15, 8, 8, 8
 INPUT = 2 * WIDTH
@@ -35,7 +37,7 @@ TOXIC, CLEAN = 1500, 2500
 TRAIN_CHARS = 30_000
 TRAIN_WINDOWS = 8
 EPOCHS, STEPS = 3, 300
-KNOWN_WORDS = 250_000
+KNOWN_WORDS = 150_000
 GROUP = 512
 
 _words = re.compile(r"[^\W_]+").findall
@@ -341,6 +343,8 @@ def _scoring(net: Network | None):
                 score = np.zeros(len(texts)) if scorer is None else scorer.scores(texts)
                 columns = [part.column(i) for i in range(part.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(score, pa.float64())], names=[*part.schema.names[:-1], "score"])
+        del scorer
+        tidy()
 
     return run
 
