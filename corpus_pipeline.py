@@ -9,16 +9,28 @@ from tidemark.llm import byte_bpe, fingerprint_dedup, minhash_forest, temperatur
 from tidemark.llm.common import cut, table
 
 
+#: Rows that a Python worker of the pipeline holds at once; with Arrow's default of 10,000 whole
+#: texts, executors that keep their workers from stage to stage come near their memory's end.
+ARROW_ROWS = "2000"
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     found = toxicity.scored(docs, table(spark, sf_dir, "labels"), docs.columns)
     return found.where("score < 0.5").select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return fingerprint_dedup.exact_groups(docs, docs.columns, digest=False).where("kept").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return minhash_forest.one_of_each(docs)
 
 
@@ -27,6 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return byte_bpe.encoded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
