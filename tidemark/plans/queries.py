@@ -253,6 +253,15 @@ _add(
         f"{_map('status', 'w')}, f AS ({FACTS} w WHERE key BETWEEN 0 AND 999), {_map('status', 'g', 200)}, {_gap('h', 'f')}",
     ),
 )
+# the whole map; the backstop has every customer again under a key that the map lacks
+_add(
+    "fill_gaps_with_whole",
+    lambda s, d: (lambda g: temporal_map(s, d, "status").fill_gaps_with(g + g.transform_keys(lambda k: -1 - k)).facts)(temporal_map(s, d, "status", 200)),
+    _plus(
+        "SELECT g.key, g.value, greatest(g.lo, glo), least(g.hi, ghi) FROM g JOIN h ON g.key = h.key AND g.lo < ghi AND glo < g.hi UNION ALL SELECT g.key, g.value, g.lo, g.hi FROM g WHERE g.key NOT IN (SELECT key FROM f)",
+        f"{_map('status')}, {_map('status', 'b', 200)}, g AS ({FACTS} b UNION ALL SELECT -1 - key, value, lo, hi FROM b), {_gap('h', 'f')}",
+    ),
+)
 
 # joins
 _JOIN = "SELECT a.key, b.value, greatest(a.lo, b.lo) AS lo, least(a.hi, b.hi) AS hi FROM {a} a JOIN {b} b ON a.value = b.key AND a.lo < b.hi AND b.lo < a.hi"
