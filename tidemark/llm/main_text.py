@@ -8,9 +8,10 @@ The token streams of chrome and open blocks of all pages of a host are joined, a
 sorted by suffix in blocks of pages.  Each run of suffixes that agree in their first
 RUN tokens is one row (host, run, number of pages); summing these rows over all
 blocks merges the suffix arrays, so a host with a third of all pages is no hot
-spot.  Runs found on at least MIN_PAGES pages and SHARE of the host's pages are
-boilerplate; open blocks lose the tokens that such runs cover and keep their unique
-runs.  A page of which nothing would be left is a copy, not boilerplate: it stays.
+spot.  A block of fewer than RUN tokens is a run of its own, taken whole.  Runs found
+on at least MIN_PAGES pages of a host are boilerplate, whatever the host's size; open
+blocks lose the tokens that such runs cover and keep their unique runs.  A page of
+which nothing would be left is a copy, not boilerplate: it stays.
 Text inside article or main is not cut by runs, since whole copied articles would go.
 
 A null html or url is empty; pages without a host form a host of their own.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import cut
 from tidemark.llm.words import mix, word_hashes
 
-RUN, MIN_PAGES, SHARE = 6, 2, 0.3
+RUN, MIN_PAGES = 6, 2
 PAGE_BLOCK = 256
 
 # HTML elements by what they mean here.
@@ -214,6 +215,20 @@ def gram_hashes(tokens: np.ndarray) -> np.ndarray:
     return np.where(whole, mix(out) | np.uint64(1), np.uint64(0))
 
 
+def short_blocks(stream: np.ndarray) -> np.ndarray:
+    """Distinct hashes of the blocks of fewer than RUN tokens, each taken whole, in a page's stream."""
+    stops = np.flatnonzero(stream == 0)
+    starts = np.concatenate([[0], stops[:-1] + 1]).astype(np.int64)
+    sizes = stops - starts
+    short = (sizes > 0) & (sizes < RUN)
+    starts, sizes = starts[short], sizes[short]
+    out = sizes.astype(np.uint64)
+    for i in range(RUN - 1):
+        has = sizes > i
+        out[has] = mix(out[has]) * np.uint64(0x9E3779B97F4A7C15) + stream[starts[has] + i]
+    return np.unique(mix(out) | np.uint64(1))
+
+
 def _stream(blocks: list[str]) -> np.ndarray:
     stop = np.zeros(1, dtype=np.uint64)
     return np.concatenate([x for b in blocks for x in (token_hashes(b), stop)] or [stop])
@@ -231,7 +246,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 host = host_of(url)
                 by_host.setdefault(host, []).append((row, _stream(open_ + chrome)))
                 if text is None and open_:
-                    found = np.unique(gram_hashes(_stream(open_)))
+                    own = _stream(open_)
+                    found = np.unique(np.concatenate([gram_hashes(own), short_blocks(own)]))
                     found = found[found != 0]
                     hosts += [host] * len(found)
                     grams.append(found)
@@ -240,11 +256,12 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for host, streams in by_host.items():
                 tokens = np.concatenate([s for _, s in streams])
                 owner = np.repeat(np.arange(len(streams)), [len(s) for _, s in streams])
-                found, count = suffix_runs(tokens, owner)
-                hosts += [host] * len(found)
-                grams.append(found)
-                pages.append(count)
-                rows += [None] * len(found)
+                whole, on = np.unique(np.concatenate([short_blocks(s) for _, s in streams]), return_counts=True)
+                for found, count in (suffix_runs(tokens, owner), (whole, on)):
+                    hosts += [host] * len(found)
+                    grams.append(found)
+                    pages.append(count)
+                    rows += [None] * len(found)
             none = np.zeros(0, dtype=np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(hosts, pa.string()), pa.array(np.concatenate(grams or [none]).view(np.int64)), pa.array(np.concatenate(pages or [none.astype(np.int64)])), pa.array(rows, pa.int64())],
@@ -273,8 +290,12 @@ def uncovered(blocks: list[str], covered: list[int] | None) -> list[str]:
     gone = np.array(covered, dtype=np.int64).view(np.uint64)
     kept = []
     for block in blocks:
-        words = block.encode().split()
-        hit = np.flatnonzero(np.isin(gram_hashes(token_hashes(block)), gone))
+        words, tokens = block.encode().split(), token_hashes(block)
+        if len(tokens) < RUN:
+            if not np.isin(short_blocks(_stream([block])), gone).any():
+                kept.append(block)
+            continue
+        hit = np.flatnonzero(np.isin(gram_hashes(tokens), gone))
         cover = np.zeros(len(words) + RUN, dtype=bool)
         for i in range(RUN):
             cover[hit + i] = True
@@ -288,9 +309,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, by_markup; one row per input row."""
     rows = pages.select("page_id", "url", "html", F.monotonically_increasing_id().alias("_row"))
     runs = cut(rows.mapInArrow(_runs, "host string, gram bigint, pages bigint, page bigint").groupBy("host", "gram", "page").agg(F.sum("pages").alias("pages")), "runs")
-    host = F.coalesce(F.lower(F.try_parse_url("url", F.lit("HOST"))), F.lit(""))
-    totals = rows.select(host.alias("host")).groupBy("host").agg(F.count("*").alias("total"))
-    repeated = runs.where(f"page is null and pages >= {MIN_PAGES}").join(totals, "host").where(F.col("pages") >= F.col("total") * SHARE).select("host", "gram")
+    repeated = runs.where(f"page is null and pages >= {MIN_PAGES}").select("host", "gram")
     asked = runs.where("page is not null").select("host", "gram", "page")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     if not asked.isEmpty():
