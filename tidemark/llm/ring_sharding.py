@@ -7,8 +7,11 @@ continue clockwise.  With the bound "rows" (n // shards, one more for the first
 n % shards of them) every shard is filled exactly, so counts are at most one
 apart.  Only the counts of the arcs (at most ``shards * virtual_nodes``, fixed by
 the parameters) come to the driver; rows are ranked inside (arc, part), where
-the parts of an arc grow in number with its rows, so a text that a third of the
-rows share is ranked in many tasks.
+the parts of an arc are ranges of the text's hash and grow in number with its rows.
+Only a text with more rows than fit a part is subdivided by doc_id, so that one
+which a third of the rows share is ranked in many tasks; it follows the arc's other
+texts.  So all rows of a text have ranks in a row, and where an arc overflows, each
+cut between two shards parts at most one text.
 
 Null texts have size 1 and the CRC of the empty text, and lie together on the
 ring; equal rows get slots of their own.
@@ -25,6 +28,8 @@ from tidemark.llm.common import cut
 
 SLOTS = 1 << 14
 PART_ROWS = 20_000
+#: A text is subdivided if it also has more than one in so many of all rows: that many rows are broadcast at most.
+HEAVY_TEXTS = 10_000
 
 
 def ring(shards: int, virtual_nodes: int) -> list[tuple[int, int]]:
@@ -90,11 +95,21 @@ def shard_rows(docs: DataFrame, shards: int = 8, virtual_nodes: int = 128) -> Da
     parts = [(arc, max(1, -(-n // PART_ROWS)), made[arc]) for arc, n in counts.items()]
     plan = F.broadcast(spark.createDataFrame(parts, "arc int, parts int, pieces array<struct<lo:bigint,hi:bigint,shard:int,first:bigint>>"))
 
-    dealt = placed.join(plan.select("arc", "parts"), "arc").withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts")).drop("parts")
-    before = Window.partitionBy("arc").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy("arc", "part").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    inside = Window.partitionBy("arc", "part").orderBy("place", "doc_id", "text_crc32", "size")
-    ranked = dealt.withColumn("rank", F.row_number().over(inside) - 1).join(starts, ["arc", "part"]).withColumn("rank", F.col("rank") + F.col("start"))
+    most = max(PART_ROWS, total // HEAVY_TEXTS)
+    heavy = placed.join(plan.where("parts > 1").select("arc"), "arc").groupBy("arc", "place").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    heavy = F.broadcast(heavy.select("arc", "place", F.ceil(F.col("n") / PART_ROWS).cast("bigint").alias("splits")))
+    alone = F.col("splits").isNotNull()
+    by_place = F.shiftright(F.shiftrightunsigned("place", 34) * F.col("parts"), 30)
+    dealt = (
+        placed.join(plan.select("arc", "parts"), "arc").join(heavy, ["arc", "place"], "left")
+        .withColumn("heavy", alone).withColumn("at", F.when(alone, F.col("place")).otherwise(F.lit(0)))
+        .withColumn("part", F.when(alone, F.pmod(F.xxhash64("doc_id"), "splits")).otherwise(by_place)).drop("parts", "splits")
+    )
+    part = ["arc", "heavy", "at", "part"]
+    before = Window.partitionBy("arc").orderBy("heavy", "at", "part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(*part).agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    inside = Window.partitionBy(*part).orderBy("place", "doc_id", "text_crc32", "size")
+    ranked = dealt.withColumn("rank", F.row_number().over(inside) - 1).join(starts, part).withColumn("rank", F.col("rank") + F.col("start"))
     piece = F.expr("filter(pieces, p -> rank >= p.lo and rank < p.hi)[0]")
     return ranked.join(plan.select("arc", "pieces"), "arc").withColumn("piece", piece).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("piece.shard").alias("shard"),
