@@ -7,8 +7,8 @@ their states, and a linear layer gives the window's logit.  Windows overlap by h
 cover the whole text, and a document's score is that of its highest window.
 
 Training is in numpy on a bounded sample of labelled rows (TOXIC and CLEAN rows at
-most, drawn by a hash of doc_id from the rows with crc32(doc_id) mod 5 <> 0; of
-these the texts up to TRAIN_CHARS characters, and TRAIN_WINDOWS windows of each).
+most, drawn by a hash of doc_id from the rows with crc32(doc_id) mod 5 <> 0), on
+all windows of each row, STEP_WINDOWS of them at a time.
 Labels, lang, source and doc_id are no inputs of a score.  The weights go to the
 executors with the function; scoring is one pass without a shuffle.
 
@@ -34,8 +34,7 @@ WINDOW, STRIDE = 64, 32
 WORD_ROWS, CHAR_ROWS, WIDTH, HIDDEN, ATTENTION = 1 << 15, 1 << 15, 8, 8, 8
 INPUT = 2 * WIDTH
 TOXIC, CLEAN = 1500, 2500
-TRAIN_CHARS = 30_000
-TRAIN_WINDOWS = 8
+STEP_WINDOWS = 1024
 EPOCHS, STEPS = 3, 300
 KNOWN_WORDS = 150_000
 GROUP = 512
@@ -194,14 +193,17 @@ class Network:
         return g, d_terms
 
 
-def trained(texts: list[str], labels: list[int], seed: int = 5) -> Network | None:
-    """A network fitted to whole documents: the highest window of a document carries its label."""
+def trained(rows: Iterable[tuple[str | None, int]], seed: int = 5) -> Network | None:
+    """A network fitted to whole documents (text, label): the highest window of a document carries its label."""
+    place: dict[str, int] = {}
+    documents, labels = [], []
+    for text, label in rows:
+        documents.append(np.array([place.setdefault(w, len(place)) for w in words_of(text)], dtype=np.int32))
+        labels.append(label)
     y = np.array(labels, dtype=np.float32)
     if not len(y) or y.min() == y.max():
         return None
     net, rng = Network(seed), np.random.default_rng(seed)
-    place: dict[str, int] = {}
-    documents = [np.array([place.setdefault(w, len(place)) for w in words_of(t)], dtype=np.int64) for t in texts]
     features = Features.of(place)
     pad = len(place)
     del place
@@ -217,8 +219,6 @@ def trained(texts: list[str], labels: list[int], seed: int = 5) -> Network | Non
             chosen, parts, owner = order[at : at + 64], [], []
             for j, i in enumerate(chosen):
                 w = windows_of(documents[i], pad)
-                if len(w) > TRAIN_WINDOWS:
-                    w = w[rng.choice(len(w), TRAIN_WINDOWS, replace=False)]
                 parts.append(w)
                 owner += [j] * len(w)
             index, own = np.concatenate(parts).T, np.array(owner)
@@ -229,23 +229,37 @@ def trained(texts: list[str], labels: list[int], seed: int = 5) -> Network | Non
             inputs = net.inputs(some)
             if used[-1] == pad:
                 inputs = np.concatenate([inputs, np.zeros((1, INPUT), dtype=np.float32)])
-            terms, keep = [x[local] for x in net.projected(inputs)], {}
-            logit = net.forward(terms, live, keep)
+            projected = net.projected(inputs)
+            spans = [slice(lo, lo + STEP_WINDOWS) for lo in range(0, len(own), STEP_WINDOWS)]
+            keep: dict = {}
+
+            def forward(span: slice) -> np.ndarray:
+                keep.clear()
+                return net.forward([x[local[:, span]] for x in projected], live[:, span], keep)
+
+            logit = np.concatenate([forward(span) for span in spans])
             # share of each window in its document: a soft maximum, harder with each epoch
             sharp = 1.0 + min(epoch, EPOCHS)
-            share = np.exp(sharp * (logit - logit.max()))
+            highest = np.full(len(chosen), -np.inf)
+            np.maximum.at(highest, own, logit)
+            share = np.exp(sharp * (logit - highest[own]))
             total = np.bincount(own, share, len(chosen))
             share = (share / total[own]).astype(np.float32)
             value = np.bincount(own, share * logit, len(chosen))
             slope = (balance[chosen] * (1 / (1 + np.exp(-value)) - y[chosen]) / len(chosen)).astype(np.float32)
-            grads, d_terms = net.gradients(keep, slope[own] * share)
+            grads: dict[str, np.ndarray] = {}
             d_inputs = np.zeros_like(inputs)
-            for d, d_x in zip("fb", d_terms, strict=True):
-                d_x *= live[:, :, None]
-                _, by_word = summed_by(local.ravel(), d_x.reshape(-1, 3 * HIDDEN))
-                grads[f"x{d}"] = inputs.T @ by_word
-                grads[f"c{d}"] = by_word.sum(axis=0)
-                d_inputs += by_word @ net.p[f"x{d}"].T
+            for span in spans:
+                if len(spans) > 1:
+                    forward(span)
+                some_grads, d_terms = net.gradients(keep, slope[own[span]] * share[span])
+                for d, d_x in zip("fb", d_terms, strict=True):
+                    d_x *= live[:, span, None]
+                    words, by_word = summed_by(local[:, span].ravel(), d_x.reshape(-1, 3 * HIDDEN))
+                    some_grads[f"x{d}"] = inputs[words].T @ by_word
+                    some_grads[f"c{d}"] = by_word.sum(axis=0)
+                    d_inputs[words] += by_word @ net.p[f"x{d}"].T
+                grads = {k: grads[k] + g if grads else g for k, g in some_grads.items()}
             step += 1
             _adam(net, grads, moments, step)
             real = len(some.word)
@@ -354,8 +368,8 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Network | None:
     learn = labels.where("doc_id is not null and toxic is not null").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).select("doc_id", "toxic").distinct()
     picked = [learn.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for label, most in ((1, TOXIC), (0, CLEAN))]
     sample = F.broadcast(picked[0].unionByName(picked[1]))  # TOXIC + CLEAN rows of two numbers at most
-    rows = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_CHARS).select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").collect()
-    return trained([r["text"] or "" for r in rows], [int(r["toxic"]) for r in rows])
+    rows = docs.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id")
+    return trained((r["text"], int(r["toxic"])) for r in rows.toLocalIterator())
 
 
 def scored(docs: DataFrame, labels: DataFrame, carry: list[str]) -> DataFrame:
