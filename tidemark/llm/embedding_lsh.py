@@ -3,7 +3,7 @@
 A hash function turns the unit vector by three rounds of random signs and a fast
 Hadamard transform and takes the coordinate of largest magnitude with its sign
 (Andoni et al., Practical and Optimal LSH for Angular Distance, 2015).  FUNCTIONS
-of them make a bucket, and there are TABLES tables.  Each vector also probes the
+of them make a bucket, and there are TABLES tables, more above 128 components.  Each vector also probes the
 buckets that replace its values by their runners-up, those of least loss first.
 Pairs that meet in a bucket, one of them by its own bucket, are verified by the
 cosine in double precision.
@@ -48,19 +48,25 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def tables_of(size: int) -> int:
+    """Tables for vectors of ``size`` (a power of two): buckets are finer the more components there are."""
+    return TABLES + 4 * max(0, size.bit_length() - 8)
+
+
 def hashes(unit: np.ndarray) -> np.ndarray:
-    """(vectors, TABLES, 1 + PROBES) bucket numbers: the own bucket, then the probes."""
+    """(vectors, tables, 1 + PROBES) bucket numbers: the own bucket, then the probes."""
     n, dim = unit.shape
     size = 1 << max(1, (dim - 1).bit_length())
+    tables = tables_of(size)
     rng = np.random.default_rng([SEED, size])
-    signs = rng.integers(0, 2, (TABLES, FUNCTIONS, 3, size)) * 2.0 - 1.0
+    signs = rng.integers(0, 2, (tables, FUNCTIONS, 3, size)) * 2.0 - 1.0
     padded = np.zeros((n, size))
     padded[:, :dim] = unit
-    out = np.empty((n, TABLES, 1 + PROBES), dtype=np.int64)
+    out = np.empty((n, tables, 1 + PROBES), dtype=np.int64)
     # which runner-up each probe takes in each function: 0 best, 1 second, 2 third
     choices = np.array(np.meshgrid(*[[0, 1, 2]] * FUNCTIONS, indexing="ij")).reshape(FUNCTIONS, -1).T
     choices = choices[choices.sum(axis=1).argsort(kind="stable")]
-    for t in range(TABLES):
+    for t in range(tables):
         codes = np.empty((n, FUNCTIONS, 3), dtype=np.int64)
         loss = np.empty((n, FUNCTIONS, 3))
         for f in range(FUNCTIONS):
@@ -164,7 +170,7 @@ def _verify(threshold: float):
                 continue
             c = {k: v[lo:hi] for k, v in columns.items()}
             x = np.array([np.frombuffer(v, dtype=np.float64) for v in vectors.slice(lo, hi - lo).to_pylist()])
-            h = buckets.slice(lo, hi - lo).flatten().to_numpy().reshape(hi - lo, TABLES, 1 + PROBES)
+            h = buckets.slice(lo, hi - lo).flatten().to_numpy().reshape(hi - lo, -1, 1 + PROBES)
             order = np.lexsort((~c["own"], c["node"]))
             ranked = c["node"][order]
             keep = order[np.concatenate([[True], ranked[1:] != ranked[:-1]])]
