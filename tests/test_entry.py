@@ -43,3 +43,26 @@ def test_query_equals_sql(spark, views, name):
 def test_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns == ["key", "value", "lo", "hi"]
+
+
+def test_self_join_is_stable(spark, views):
+    """The same rows as the SQL, again and again, whatever the partitions: exact multisets."""
+    import collections
+
+    want = collections.Counter(views.execute(f"select key, value, lo, hi from ({plans.ORACLES['self_joined']}) x").fetchall())
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("1", "7", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            found = plans.QUERIES["self_joined"](spark, SF).select("key", "value", "lo", "hi")
+            assert collections.Counter(map(tuple, found.collect())) == want
+            assert collections.Counter(views.execute(f"select key, value, lo, hi from ({plans.ORACLES['self_joined']}) x").fetchall()) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_joins_deal_by_time(spark):
+    """No join of the engine is a nested loop, and the temporal joins meet on bins of time."""
+    for name in ("joined_to", "self_joined", "find_interval_set", "fill_gaps_with"):
+        plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan and "_bin" in plan, name

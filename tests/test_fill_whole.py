@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.01"
 
 def test_fill_gaps_with_takes_all_keys(spark):
     m, other = temporal_map(spark, SF, "status"), temporal_map(spark, SF, "status", 200)
-    found = plans.QUERIES["fill_gaps_with_whole"](spark, SF).cache()
+    found = plans.QUERIES["fill_gaps_with"](spark, SF).cache()
     # nothing of the map is lost, whatever its key
     assert m.facts.select("key").distinct().join(found, "key", "left_anti").isEmpty()
     ticks = F.sum(F.col("hi") - F.col("lo"))

@@ -6,8 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark import DATE, INT, TemporalMap
-from tidemark.operators import algebra
+from tidemark import DATE, DOUBLE, INT, TemporalMap
+from tidemark.operators import algebra, bins
 from tidemark.sources import read_facts, write_facts
 
 SCHEMA = "key string, value int, lo bigint, hi bigint"
@@ -123,18 +123,83 @@ def test_count_overlaps_by_brute_force(spark):
         assert found[k, v] == sum(r[2] < hi and lo < r[3] for r in later)
 
 
-def test_printed_examples(spark):
+@pytest.mark.parametrize(("kind", "shown"), [("right_open", "[2001-07-{},2001-07-{})"), ("left_open", "(2001-07-{},2001-07-{}]"), ("open", "(2001-07-{},2001-07-{})"), ("closed", "[2001-07-{},2001-07-{}]")])
+def test_lines_in_the_maps_own_bounds(spark, kind, shown):
     import datetime as dt
 
-    def day(m, d):
-        return dt.date(2020, m, d)
+    def day(d):
+        return dt.date(2001, 7, d)
 
-    rows = [("aa", 0, day(1, 10), day(1, 20)), ("aa", 1, day(1, 15), day(1, 25)), ("bb", 2, day(2, 1), day(2, 5)), ("bb", 3, day(2, 28), day(2, 28), "closed")]
-    lines = [r["line"] for r in TemporalMap.from_rows(spark, rows, DATE).lines().collect()]
-    assert lines == [
-        "aa\t[0]\t[2020-01-10,2020-01-15)", "aa\t[0, 1]\t[2020-01-15,2020-01-20)", "aa\t[1]\t[2020-01-20,2020-01-25)",
-        "bb\t[2]\t[2020-02-01,2020-02-05)", "bb\t[3]\t[2020-02-28,2020-02-29)",
-    ]
+    m = TemporalMap.from_rows(spark, [("road", 8, day(4), day(16)), ("road", 6, day(9), day(16)), ("mill", 8, day(10), day(21))], DATE.with_bounds(kind))
+    step = {"right_open": 0, "left_open": 0, "open": 1, "closed": -1}[kind]  # from where one segment begins to where the other ends
+    lines = [r["line"] for r in m.lines().collect()]
+    assert lines == ["mill\t[8]\t" + shown.format("10", "21"), "road\t[8]\t" + shown.format("04", f"{9 + step:02}"), "road\t[6, 8]\t" + shown.format("09", "16")]
+    assert [tuple(r) for r in m.subset("road", 6).fact_lines().collect()] == [("road", "6, " + shown.format("09", "16"))]
+    assert [r["line"] for r in TemporalMap.from_rows(spark, [("q", 1, 2.5, 4.0)], DOUBLE).lines().collect()] == ["q\t[1]\t[2.5,4.0)"]
+
+
+def test_iteration_is_ordered(two):
+    rows = list(two[0].iterate(["c", "a"], 5, 25))
+    assert rows == sorted(rows, key=lambda r: (r[0], r[2], r[3], r[1]))
+    assert {(k, v, t) for k, v, lo, hi in rows for t in range(lo, hi)} == {p for p in points(two[0]) if p[0] in "ac" and 5 <= p[2] < 25}
+
+
+def test_ticks_are_whole():
+    assert INT.tick(3.0) == 3
+    for bad in (2.7, "x", None):
+        with pytest.raises((ValueError, TypeError)):
+            INT.tick(bad)
+    with pytest.raises(ValueError, match="NaN"):
+        DOUBLE.tick(float("nan"))
+
+
+def test_nulls_and_nan_are_no_facts(spark, two):
+    rows = [(None, 1, 0, 5), ("a", None, 0, 5), ("a", 1, None, 5), ("a", 1, 0, None), ("a", 2, 7, 7), ("a", 2, 9, 3), ("z", 3, 0, 4)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    assert [tuple(r) for r in TemporalMap(frame).facts.collect()] == [("z", 3, 0, 4)]
+    assert two[0].insert(frame).equals(two[0].insert([("z", 3, 0, 4)]))
+    assert (two[0] + TemporalMap(frame)).equals(two[0].insert([("z", 3, 0, 4)]))
+    assert two[0].erase(frame).equals(two[0])
+    assert [tuple(r) for r in TemporalMap(frame).disjoint_intervals().collect()] == [("z", 0, 4, [3])]
+    nan = float("nan")
+    odd = spark.createDataFrame([("a", 1, nan, 5.0), ("a", 1, 2.0, nan), ("a", 1, 2.0, 3.0)], "key string, value int, lo double, hi double")
+    assert [tuple(r) for r in TemporalMap(odd, DOUBLE).facts.collect()] == [("a", 1, 2.0, 3.0)]
+
+
+def test_inverse_pairs_as_a_frame(spark, two):
+    pairs = spark.createDataFrame([(9, "q"), (1, "a")], "key int, value string")
+    assert two[0].inverse_insert_pairs(pairs, 3, 5).equals(two[0].inverse_insert_pairs([(9, "q"), (1, "a")], 3, 5))
+    assert two[0].inverse_erase_pairs(pairs, 3, 50).equals(two[0].erase_pairs([("a", 1)], 3, 50))
+
+
+def test_time_bins_change_nothing(two):
+    a = two[0]
+    binned = TemporalMap(a.facts, bin_ticks=5)
+    assert binned.equals(a) and binned.fill_gaps().equals(a.fill_gaps()) and binned.flattened().equals(a.flattened())
+    assert binned.disjoint_intervals().collect() == a.disjoint_intervals().collect()
+    assert sorted(binned.gaps().collect()) == sorted(a.gaps().collect())
+
+
+@pytest.mark.parametrize("kind", ["bigint", "double"])
+def test_facts_of_all_lengths_meet(spark, kind):
+    """Lengths over many levels, both signs, extents of the domain: each overlapping pair exactly once."""
+    rng = random.Random(kind)
+
+    def fact(k):
+        at, n = rng.choice([0, 1, -1]) * 8 ** rng.randrange(0, 21) + rng.randrange(-9, 9), 8 ** rng.randrange(0, 21)
+        lo, hi = max(at, -(2**62)), min(at + rng.randrange(1, n + 1), 2**62)
+        return (k, rng.randrange(3), lo, hi) if kind == "bigint" else (k, rng.randrange(3), lo / 64, hi / 64)
+
+    types = f"key int, value int, lo {kind}, hi {kind}"
+    left, right = [fact(i) for i in range(150)], [fact(i) for i in range(150)]
+    far = 2**62 if kind == "bigint" else 1.7e308
+    left += [(900, 1, -far, far), (901, 1, far / 2 if kind == "double" else far // 2, far)]
+    right += [(1, 900, -far, far), (1, 901, -far, -far / 2 if kind == "double" else -far // 2)]
+    right = [(r[1] if r[0] != 1 or r[1] < 900 else 1, i, r[2], r[3]) for i, r in enumerate(right)]
+    pairs = bins.meeting(spark.createDataFrame(left, types), spark.createDataFrame(right, types), "value", "key")
+    found = sorted((r["l_key"], r["r_value"]) for r in pairs.collect())
+    want = sorted((a[0], b[1]) for a in left for b in right if a[1] == b[0] and a[2] < b[3] and b[2] < a[3] and a[2] < a[3] and b[2] < b[3])
+    assert found == want and len(want) > 100
 
 
 def test_extents_do_not_overflow(spark):

@@ -57,6 +57,8 @@ class Domain:
             if point != point:
                 raise ValueError("a bound cannot be NaN")
             return float(point)
+        if int(point) != point:
+            raise ValueError(f"{point!r} is no tick of a discrete domain")
         return int(point)
 
     def span(self, length) -> float:
@@ -68,9 +70,13 @@ class Domain:
     def canonical(self, lo, hi, bounds: str | None = None) -> tuple[float, float]:
         """A Python interval as half-open ticks; reversed and empty ones come out with lo >= hi."""
         a, b = self.tick(lo), self.tick(hi)
-        left, right = _shifts(bounds or self.bounds) if self.discrete else (0, 0)
+        left, right = self.shifts(bounds)
         return a + left, b + right
 
+    def shifts(self, bounds: str | None = None) -> tuple[int, int]:
+        """What a bounds kind adds to its two points to make them half-open ticks."""
+        return _shifts(bounds or self.bounds) if self.discrete else (0, 0)
+
     def tick_column(self, column: Column) -> Column:
         if self.kind == "date":
             return F.unix_date(column.cast("date")).cast("bigint")
@@ -89,13 +95,11 @@ class Domain:
     def canonical_columns(self, lo: Column, hi: Column, bounds: Column | str | None = None) -> tuple[Column, Column]:
         """Column version of canonical(); bounds may be a column, so that each row has its own kind."""
         a, b = self.tick_column(lo), self.tick_column(hi)
-        if not self.discrete:
-            return a, b
-        if isinstance(bounds, Column):
+        if self.discrete and isinstance(bounds, Column):
             left = F.when(bounds.isin("left_open", "open"), 1).otherwise(0)
             right = F.when(bounds.isin("left_open", "closed"), 1).otherwise(0)
             return a + left, b + right
-        left, right = _shifts(bounds or self.bounds)
+        left, right = self.shifts(bounds if isinstance(bounds, str) else None)
         return a + left, b + right
 
     def literal(self, tick) -> Column:

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.domain import Domain
-from tidemark.operators import algebra
+from tidemark.operators import algebra, bins
 
 DIRECTIONS = ("backwards", "forwards", "both")
 
 
 def _pieces(rows: DataFrame, domain: Domain, ext, forwards: bool, backwards: bool) -> DataFrame:
-    """Rows (key, value, glo, ghi): the whole gap, or at most ``ext`` from its sides."""
+    """Rows (key, value, glo, ghi, before, after): the whole gap, or at most ``ext`` from the sides that hold."""
     whole = F.struct(F.col("glo").alias("lo"), F.col("ghi").alias("hi"))
     if ext is None:
         parts = F.array(whole)
@@ -20,34 +20,27 @@ def _pieces(rows: DataFrame, domain: Domain, ext, forwards: bool, backwards: boo
         ext = domain.span(ext)
         sides = []
         if forwards:
-            sides.append(F.struct(F.col("glo").alias("lo"), (F.col("glo") + ext).alias("hi")))
+            sides.append(F.when(F.col("before"), F.struct(F.col("glo").alias("lo"), (F.col("glo") + ext).alias("hi"))))
         if backwards:
-            sides.append(F.struct((F.col("ghi") - ext).alias("lo"), F.col("ghi").alias("hi")))
-        parts = F.when(F.col("ghi") - F.col("glo") <= ext, F.array(whole)).otherwise(F.array(*sides))
+            sides.append(F.when(F.col("after"), F.struct((F.col("ghi") - ext).alias("lo"), F.col("ghi").alias("hi"))))
+        held = F.filter(F.array(*sides), lambda s: s.isNotNull())
+        parts = F.when(F.col("ghi") - F.col("glo") <= ext, F.array(whole)).otherwise(held)
     return rows.select("key", "value", F.explode(parts).alias("p")).select("key", "value", "p.lo", "p.hi")
 
 
 def gap_fills(facts: DataFrame, domain: Domain, ext=None) -> DataFrame:
     """Values on both sides of a gap fill it; a gap longer than ``ext`` gets ``ext`` from each side."""
-    holes = algebra.gaps(facts)
-    left = facts.select("key", "value", F.col("hi").alias("glo"))
-    right = facts.select("key", "value", F.col("lo").alias("ghi"))
-    common = holes.join(left, ["key", "glo"]).join(right, ["key", "ghi", "value"])
-    return _pieces(common, domain, ext, True, True)
+    return _pieces(algebra.gap_sides(facts).where("before and after"), domain, ext, True, True)
 
 
 def gap_extensions(facts: DataFrame, domain: Domain, direction: str = "both", ext=None) -> DataFrame:
     """Values before a gap are carried forwards into it, values after it backwards."""
     if direction not in DIRECTIONS:
         raise ValueError(f"unknown direction {direction!r}")
-    holes, out = algebra.gaps(facts), []
-    if direction != "backwards":
-        left = holes.join(facts.select("key", "value", F.col("hi").alias("glo")), ["key", "glo"])
-        out.append(_pieces(left, domain, ext, True, False))
-    if direction != "forwards":
-        right = holes.join(facts.select("key", "value", F.col("lo").alias("ghi")), ["key", "ghi"])
-        out.append(_pieces(right, domain, ext, False, True))
-    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
+    forwards, backwards = direction != "backwards", direction != "forwards"
+    sides = algebra.gap_sides(facts).where(F.lit(forwards) & F.col("before") | F.lit(backwards) & F.col("after"))
+    before, after = F.col("before") & F.lit(forwards), F.col("after") & F.lit(backwards)
+    return _pieces(sides.withColumns({"before": before, "after": after}), domain, ext, forwards, backwards)
 
 
 def start_extensions(facts: DataFrame, domain: Domain, start=None, ext=None) -> DataFrame:
@@ -68,11 +61,9 @@ def end_extensions(facts: DataFrame, domain: Domain, start=None, ext=None) -> Da
 
 def backstop_fills(facts: DataFrame, other: DataFrame) -> DataFrame:
     """Unknown keys are copied whole, known keys only inside their interior gaps."""
-    holes = algebra.gaps(facts)
-    inside = (
-        other.join(holes, "key")
-        .where((F.col("lo") < F.col("ghi")) & (F.col("glo") < F.col("hi")))
-        .select("key", "value", F.greatest("lo", "glo").alias("lo"), F.least("hi", "ghi").alias("hi"))
+    holes = algebra.gaps(facts).select("key", F.col("glo").alias("lo"), F.col("ghi").alias("hi"))
+    inside = bins.meeting(other, holes, "key", "key").select(
+        F.col("l_key").alias("key"), F.col("l_value").alias("value"), F.greatest("l_lo", "r_lo").alias("lo"), F.least("l_hi", "r_hi").alias("hi")
     )
     unknown = other.join(facts.select("key").distinct(), "key", "left_anti").select("key", "value", "lo", "hi")
     return inside.unionByName(unknown)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import algebra
+from tidemark.operators import algebra, bins
 
 
 def matching(facts: DataFrame, column: str, wanted) -> DataFrame:
@@ -35,28 +35,28 @@ def at_point(facts: DataFrame, tick) -> DataFrame:
 def overlapping_any(facts: DataFrame, windows: DataFrame, bin_ticks: int | None = None) -> DataFrame:
     """Rows that overlap at least one row of ``windows`` (lo, hi).
 
-    With ``bin_ticks`` both sides are dealt to time bins and joined on them, so
-    that many windows against many facts needs no nested loop.
+    Both sides are dealt to time bins and semi-joined on them, so that many windows
+    against many facts needs no nested loop; bins grow with the length of the facts
+    (see bins) or, with ``bin_ticks``, have that width.
     """
-    asked = algebra.coalesce(windows.select(F.lit(0).alias("_g"), "lo", "hi"), ("_g",)).select(F.col("lo").alias("_qlo"), F.col("hi").alias("_qhi"))
+    asked = algebra.coalesce(windows.select(F.lit(0).alias("_g"), "lo", "hi"), ("_g",)).select("lo", "hi")
+    if bin_ticks:
+        def cut(rows: DataFrame) -> DataFrame:
+            number = F.sequence(F.floor(F.col("lo") / bin_ticks), F.floor((F.col("hi") - 1) / bin_ticks))
+            return rows.where("lo < hi").withColumns({"_level": F.lit(0), "_role": F.lit(0), "_bin": F.explode(number)})
+
+        a, b = cut(facts), cut(asked)
+    else:
+        a, b = bins.dealt(facts, bins.levels(asked).scalar(), True), bins.dealt(asked, bins.levels(facts).scalar(), False)
+    b = b.select(*[F.col(c).alias(f"_q{c}") for c in b.columns])
     hit = (F.col("lo") < F.col("_qhi")) & (F.col("_qlo") < F.col("hi"))
-    if not bin_ticks:
-        return facts.join(asked, hit, "left_semi")
-
-    def bins(lo: str, hi: str) -> Column:
-        return F.explode(F.sequence(F.floor(F.col(lo) / bin_ticks), F.floor((F.col(hi) - 1) / bin_ticks)))
-
-    a = facts.where("lo < hi").withColumn("_bin", bins("lo", "hi"))
-    b = asked.withColumn("_bin", bins("_qlo", "_qhi")).withColumnRenamed("_bin", "_qbin")
-    return a.join(b, (F.col("_bin") == F.col("_qbin")) & hit, "left_semi").select(*facts.columns).distinct()
+    same = (F.col("_level") == F.col("_q_level")) & (F.col("_role") == F.col("_q_role")) & (F.col("_bin") == F.col("_q_bin"))
+    return a.join(b, same & hit, "left_semi").select(*facts.columns).distinct()
 
 
 def distinct_sorted(facts: DataFrame, column: str) -> DataFrame:
     return facts.select(column).distinct().orderBy(column)
 
 
-def subset(facts: DataFrame, keys=None, values=None, lo=None, hi=None) -> DataFrame:
-    rows = matching(matching(facts, "key", keys), "value", values)
-    if lo is None and hi is None:
-        return rows
-    return algebra.clip(rows, lo, hi) if lo < hi else rows.where(F.lit(False))
+def subset(facts: DataFrame, keys=None, values=None) -> DataFrame:
+    return matching(matching(facts, "key", keys), "value", values)

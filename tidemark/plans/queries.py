@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from tidemark import functions as scalar
 from tidemark.dictionary import TemporalMap
-from tidemark.domain import BOUNDS, DATE, DOUBLE
+from tidemark.domain import BIGINT, BOUNDS, DATE, DOUBLE
 from tidemark.operators import algebra, flatten
-from tidemark.plans.workloads import SOURCES, raw_facts, temporal_map
-from tidemark.sources import table
+from tidemark.plans.workloads import SHAPES, SOURCES, facts_with_nulls, hot_facts, raw_facts, shaped_facts, temporal_map
+from tidemark.sources import fresh_path, read_facts, table, write_facts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,10 +44,12 @@ def _raw(name: str, cte: str = "r", shift: int = 0) -> str:
 
 
 def _co(cte: str, src: str, by: str = "key, value") -> str:
+    """Equal rows are taken once, so that both windows have one total order: with ties, the
+    two may number equal rows differently and a start mark land on the wrong one."""
     return f"""{cte} AS (SELECT {by}, min(lo) AS lo, max(hi) AS hi FROM (
       SELECT *, sum(s) OVER (PARTITION BY {by} ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS g FROM (
         SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY {by} ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS s
-        FROM {src} WHERE lo < hi) a) b GROUP BY {by}, g)"""
+        FROM (SELECT DISTINCT {by}, lo, hi FROM {src} WHERE lo < hi) u) a) b GROUP BY {by}, g)"""
 
 
 def _map(name: str, cte: str = "f", shift: int = 0) -> str:
@@ -245,17 +247,9 @@ for _start in (None, D0):
         _s, _e = (DATE.maximum, DATE.minimum) if _start is None else (_start, _start)
         _add(f"fill_to_start{_tag}", lambda s, d, a=_start, e=_ext: temporal_map(s, d, "status").fill_to_start(a, e).facts, _plus(f"SELECT key, value, {_lo}, lo FROM f WHERE lo < {_s} AND (key, lo) IN (SELECT key, min(lo) FROM f GROUP BY key)", _map("status")))
         _add(f"fill_to_end{_tag}", lambda s, d, a=_start, e=_ext: temporal_map(s, d, "status").fill_to_end(a, e).facts, _plus(f"SELECT key, value, hi, {_hi} FROM f WHERE hi > {_e} AND (key, hi) IN (SELECT key, max(hi) FROM f GROUP BY key)", _map("status")))
+# the backstop has every customer again under a key that the map lacks
 _add(
     "fill_gaps_with",
-    lambda s, d: temporal_map(s, d, "status").subset(range(0, 1000)).fill_gaps_with(temporal_map(s, d, "status", 200)).facts,
-    _plus(
-        "SELECT g.key, g.value, greatest(g.lo, glo), least(g.hi, ghi) FROM g JOIN h ON g.key = h.key AND g.lo < ghi AND glo < g.hi UNION ALL SELECT g.key, g.value, g.lo, g.hi FROM g WHERE g.key NOT IN (SELECT key FROM f)",
-        f"{_map('status', 'w')}, f AS ({FACTS} w WHERE key BETWEEN 0 AND 999), {_map('status', 'g', 200)}, {_gap('h', 'f')}",
-    ),
-)
-# the whole map; the backstop has every customer again under a key that the map lacks
-_add(
-    "fill_gaps_with_whole",
     lambda s, d: (lambda g: temporal_map(s, d, "status").fill_gaps_with(g + g.transform_keys(lambda k: -1 - k)).facts)(temporal_map(s, d, "status", 200)),
     _plus(
         "SELECT g.key, g.value, greatest(g.lo, glo), least(g.hi, ghi) FROM g JOIN h ON g.key = h.key AND g.lo < ghi AND glo < g.hi UNION ALL SELECT g.key, g.value, g.lo, g.hi FROM g WHERE g.key NOT IN (SELECT key FROM f)",
@@ -278,6 +272,77 @@ _FILLED = f"""{_map('suppliers', 'g0')}, {_gap('h1', 'g0')}, d1 AS ({FACTS} g0 U
   d2 AS ({FACTS} g1 UNION ALL {_pieces(_on(_LEFT, 'g1', 'h2'), 30, 'f')} UNION ALL {_pieces(_on(_RIGHT, 'g1', 'h2'), 30, 'b')}), {_co('g', 'd2')}"""
 _add("filled_join", lambda s, d: temporal_map(s, d, "orders").joined_to(temporal_map(s, d, "suppliers").fill_gaps().extend_into_gaps("both", 30)).facts, f"WITH {_map('orders')}, {_FILLED}, j AS ({_JOIN.format(a='f', b='g')}), {_co('o', 'j')} {FACTS} o")
 
+_add(
+    "joined_open_ended", lambda s, d: temporal_map(s, d, "orders").fill_to_end().joined_to(temporal_map(s, d, "suppliers").fill_to_start(D1)).facts,
+    f"""WITH {_map('orders', 'f0')}, d1 AS ({FACTS} f0 UNION ALL SELECT key, value, hi, {DATE.maximum} FROM f0 WHERE (key, hi) IN (SELECT key, max(hi) FROM f0 GROUP BY key)), {_co('f', 'd1')},
+      {_map('suppliers', 'g0')}, d2 AS ({FACTS} g0 UNION ALL SELECT key, value, {DATE.minimum}, lo FROM g0 WHERE lo < {D1} AND (key, lo) IN (SELECT key, min(lo) FROM g0 GROUP BY key)), {_co('g', 'd2')},
+      j AS ({_JOIN.format(a='f', b='g')}), {_co('o', 'j')} {FACTS} o""",
+)
+
+# a key and a middle value with a third of all rows; nulls in every column
+_HOT = f"{_raw('parts', 'raw_hot')}, hot AS (SELECT CASE WHEN key % 3 = 0 THEN 0 ELSE key END AS key, value, lo, hi FROM raw_hot), {_co('f', 'hot')}"
+
+
+def _hot(s: SparkSession, d: str) -> TemporalMap:
+    return TemporalMap(hot_facts(s, d), DATE, bin_ticks=128)
+
+
+_add("coalesce_hot", lambda s, d: _facts(_hot(s, d)), f"WITH {_HOT} {FACTS} f")
+_add("segments_hot", lambda s, d: _listed(_hot(s, d).disjoint_intervals(), "values"), f"WITH {_HOT}, {_seg('g', 'f')} SELECT key, lo, hi, \"values\" FROM g")
+_add("gaps_hot", lambda s, d: _hot(s, d).gaps(), f"WITH {_HOT}, {_gap('h', 'f')} SELECT key, glo, ghi FROM h")
+_add(
+    "joined_hot", lambda s, d: temporal_map(s, d, "status").transform_values(lambda v: F.when(v == "F", 0).otherwise(F.ascii(v)).cast("bigint")).joined_to(_hot(s, d).subset_values([1, 2, 3])).facts,
+    f"WITH {_map('status', 'f0')}, f1 AS (SELECT key, CASE WHEN value = 'F' THEN 0 ELSE ascii(value) END AS value, lo, hi FROM f0), {_co('g', 'f1')}, {_HOT}, h AS ({FACTS} f WHERE value IN (1, 2, 3)), j AS ({_JOIN.format(a='g', b='h')}), {_co('o', 'j')} {FACTS} o",
+)
+_NULLS = f"""{_raw('parts', 'raw_n')}, holes AS (SELECT CASE WHEN key % 5 <> 0 THEN key END AS key, CASE WHEN value % 7 <> 0 THEN value END AS value, CASE WHEN lo % 11 <> 0 THEN lo END AS lo, CASE WHEN hi % 13 <> 0 THEN hi END AS hi FROM raw_n),
+  n AS (SELECT key, value, lo, CASE WHEN lo % 17 = 0 THEN lo - 1 ELSE hi END AS hi FROM holes WHERE key IS NOT NULL AND value IS NOT NULL AND lo IS NOT NULL), known AS ({FACTS} n WHERE hi IS NOT NULL)"""
+_add("nulls_left_out", lambda s, d: TemporalMap(facts_with_nulls(s, d), DATE).facts, f"WITH {_NULLS}, {_co('f', 'known')} {FACTS} f")
+_add("nulls_inserted", lambda s, d: temporal_map(s, d, "parts", 400).insert(facts_with_nulls(s, d)).facts, f"WITH {_NULLS}, {_map('parts', 'g', 400)}, d AS ({FACTS} g UNION ALL {FACTS} known), {_co('o', 'd')} {FACTS} o")
+_add("nulls_segments", lambda s, d: _listed(TemporalMap(facts_with_nulls(s, d), DATE).disjoint_intervals(), "values"), f"WITH {_NULLS}, {_co('f', 'known')}, {_seg('g', 'f')} SELECT key, lo, hi, \"values\" FROM g")
+
+# shapes of facts: successive overlaps, nested pyramids, values that take turns
+for _shape, (_v, _from, _to) in SHAPES.items():
+    _SHAPE = f"""o AS (SELECT CAST(floor(o_orderkey / 50) AS BIGINT) AS key, CAST(o_orderkey AS BIGINT) AS o FROM orders),
+      nm AS (SELECT key, o, row_number() OVER (PARTITION BY key ORDER BY o) AS n, count(*) OVER (PARTITION BY key) + 1 AS m FROM o), shape AS (SELECT key, CAST({_v} AS BIGINT) AS value, CAST({_from} AS BIGINT) AS lo, CAST({_to} AS BIGINT) AS hi FROM nm), {_co('f', 'shape')}"""
+    _add(f"shape_{_shape}", lambda s, d, n=_shape: _listed(TemporalMap(shaped_facts(s, d, n), BIGINT).disjoint_intervals(), "values"), f"WITH {_SHAPE}, {_seg('g', 'f')} SELECT key, lo, hi, \"values\" FROM g")
+
+# what answers with a Python value, as one row
+
+
+def _answers(s: SparkSession, d: str) -> DataFrame:
+    m, shifted = temporal_map(s, d, "parts"), temporal_map(s, d, "parts", 30)
+    row = (m.contains(7), m.count(-1), m.contains_value(3), m.count_value(-1), m.is_empty(), TemporalMap.empty(s).is_empty(), m.size(), m.inverse_size(), m.equals(temporal_map(s, d, "parts")), m.equals(shifted), m.clear().is_empty())
+    return s.createDataFrame([row], "has_key boolean, keys_found int, has_value boolean, values_found int, none boolean, empty_is_empty boolean, n_keys bigint, n_values bigint, same boolean, shifted_same boolean, cleared boolean")
+
+
+_add("answers", _answers, f"""WITH {_map('parts')}, {_map('parts', 'g', 30)} SELECT count(*) FILTER (key = 7) > 0 AS has_key, CAST(count(*) FILTER (key = -1) > 0 AS INTEGER) AS keys_found, count(*) FILTER (value = 3) > 0 AS has_value, CAST(count(*) FILTER (value = -1) > 0 AS INTEGER) AS values_found,
+  count(*) = 0 AS none, TRUE AS empty_is_empty, count(DISTINCT key) AS n_keys, count(DISTINCT value) AS n_values, TRUE AS same, (SELECT count(*) FROM (({FACTS} f EXCEPT {FACTS} g) UNION ALL ({FACTS} g EXCEPT {FACTS} f)) x) = 0 AS shifted_same, TRUE AS cleared FROM f""")
+
+
+def _round_trip(s: SparkSession, d: str) -> DataFrame:
+    path = fresh_path(s, "facts")
+    write_facts(temporal_map(s, d, "status"), path)
+    return read_facts(s, path, DATE).facts
+
+
+_add("parquet_round_trip", _round_trip, f"WITH {_map('status')} {FACTS} f")
+_add("iterate", lambda s, d: s.createDataFrame(list(temporal_map(s, d, "status").iterate([3, 7, 10], D0, D2)), "key bigint, value string, lo date, hi date"), f"WITH {_map('status')} SELECT key, value, CAST(DATE '1970-01-01' + CAST(lo AS INTEGER) AS DATE) AS lo, CAST(DATE '1970-01-01' + CAST(hi AS INTEGER) AS DATE) AS hi FROM ({_clip('f', D0, D2, 'key IN (3, 7, 10)')}) x")
+_add("fact_lines", lambda s, d: temporal_map(s, d, "status").fact_lines(), f"WITH {_map('status')} SELECT key, value || ', [' || strftime(DATE '1970-01-01' + CAST(lo AS INTEGER), '%Y-%m-%d') || ',' || strftime(DATE '1970-01-01' + CAST(hi AS INTEGER), '%Y-%m-%d') || ')' AS line FROM f")
+_add(
+    "lines_closed",
+    lambda s, d: TemporalMap(raw_facts(s, d, "status"), DATE.with_bounds("closed")).lines(),
+    f"""WITH {_map('status')}, {_seg('g', 'f')}
+  SELECT CAST(key AS VARCHAR) || chr(9) || '[' || replace("values", ',', ', ') || ']' || chr(9) || '[' || strftime(DATE '1970-01-01' + CAST(lo AS INTEGER), '%Y-%m-%d') || ',' || strftime(DATE '1970-01-01' + CAST(hi - 1 AS INTEGER), '%Y-%m-%d') || ']' AS line FROM g""",
+)
+
+
+def _nation(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "customer").where("c_nationkey = 3").select(F.lit("X").alias("key"), F.col("c_custkey").cast("bigint").alias("value"))
+
+
+_add("inverse_insert_pairs_frame", lambda s, d: temporal_map(s, d, "status").inverse_insert_pairs(_nation(s, d), D0, D1).facts, _plus(f"SELECT CAST(c_custkey AS BIGINT), 'X', {D0}, {D1} FROM customer WHERE c_nationkey = 3", _map("status")))
+_add("inverse_erase_pairs_frame", lambda s, d: temporal_map(s, d, "status").inverse_erase_pairs(_nation(s, d).withColumn("key", F.lit("O")), D0, D1).facts, _erased("value = 'O' AND key IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)", D0, D1))
+
 # scalar functions, over each fact and the next one of its key
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.dictionary import TemporalMap
@@ -34,3 +34,35 @@ def raw_facts(spark: SparkSession, sf_dir: str, name: str, shift: int = 0) -> Da
 
 def temporal_map(spark: SparkSession, sf_dir: str, name: str, shift: int = 0) -> TemporalMap:
     return TemporalMap(raw_facts(spark, sf_dir, name, shift), SOURCES[name][-1])
+
+
+def hot_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facts of "parts" with a third of the keys made one: key 0 holds a third of all rows."""
+    rows = raw_facts(spark, sf_dir, "parts")
+    return rows.withColumn("key", F.when(F.col("key") % 3 == 0, F.lit(0)).otherwise(F.col("key")).cast("bigint"))
+
+
+def facts_with_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facts of "parts" with nulls in every column, and reversed intervals."""
+    rows = raw_facts(spark, sf_dir, "parts")
+    holes = {"key": F.col("key") % 5, "value": F.col("value") % 7, "lo": F.col("lo") % 11, "hi": F.col("hi") % 13}
+    made = {c: F.when(m != 0, F.col(c)) for c, m in holes.items()}
+    return rows.withColumns(made).withColumn("hi", F.when(F.col("lo") % 17 == 0, F.col("lo") - 1).otherwise(F.col("hi")))
+
+
+#: Shapes of a key's facts, by the number n of a row among the m rows of its key:
+#: SQL for value, lo and hi.
+SHAPES: dict[str, tuple[str, str, str]] = {
+    "overlaps": ("n", "n * 10", "n * 10 + 25"),  # each one overlaps the next two
+    "pyramid": ("n", "n", "2 * m - n"),  # each one lies inside the one before
+    "swaps": ("(o * 7919) % 4", "n * 10", "n * 10 + 10"),  # values that take turns at random
+}
+
+
+def shaped_facts(spark: SparkSession, sf_dir: str, shape: str) -> DataFrame:
+    """One fact per order, in groups of about 50 by order number, laid out in one of the SHAPES."""
+    order = F.col("o_orderkey").cast("bigint")
+    rows = table(spark, sf_dir, "orders").select(F.floor(order / 50).cast("bigint").alias("key"), order.alias("o"))
+    numbered = rows.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("o")).cast("bigint")).withColumn("m", F.count("*").over(Window.partitionBy("key")) + 1)
+    value, lo, hi = SHAPES[shape]
+    return numbered.select("key", F.expr(value).cast("bigint").alias("value"), F.expr(lo).cast("bigint").alias("lo"), F.expr(hi).cast("bigint").alias("hi"))
