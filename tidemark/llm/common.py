@@ -2,44 +2,47 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import ctypes
 import gc
-import os
-import tempfile
-import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import sources
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir.
-
-    Only where the session has none (a local test) a temporary folder is used.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="checkpoints-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 _written: list[str] = []
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    _written.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    """A path in the folder that the driver and all executors share (see sources.shared_folder)."""
+    _written.append(sources.fresh_path(spark, name))
     return _written[-1]
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes what this process has cut so far; results still to be read depend on it."""
-    while _written:
-        drop_path(spark, _written.pop())
+def release(spark: SparkSession, but: tuple[str, ...] = ()) -> None:
+    """Deletes what this process has cut so far, except the paths ``but``; results still to
+    be read depend on it.  What is left at the end of the process is deleted then."""
+    for path in [p for p in _written if p not in but]:
+        _written.remove(path)
+        drop_path(spark, path)
+
+
+def _release_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if _written and spark is not None:
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            release(spark)
+
+
+atexit.register(_release_at_exit)
 
 
 def cut(frame: DataFrame, name: str = "cut") -> DataFrame:
@@ -49,11 +52,38 @@ def cut(frame: DataFrame, name: str = "cut") -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def last_path() -> str:
+    """Where the latest cut went."""
+    return _written[-1]
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def bitmap(values: DataFrame, column: str, most: int) -> bytes:
+    """A bitmap over the low bits of a column of hashes: a power of two of at least eight bits a
+    row and at most ``most`` bits in all, so its size is measured and bounded.  It only saves
+    work: what it lets through is joined exactly, and a full bitmap lets all through."""
+    size = 1 << 18
+    rows = values.count()
+    while size < min(most, 8 * rows):
+        size <<= 1
+    at = F.col(column).bitwiseAND(size - 1) + 1
+    marked = values.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit"))
+    out = np.zeros(size // 8, dtype=np.uint8)
+    for row in marked.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map")).toLocalIterator():
+        first = (int(row["bucket"]) - 1) * 4096
+        out[first : first + 4096] |= np.frombuffer(row["map"], dtype=np.uint8)
+    return out.tobytes()
+
+
+def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes & np.uint64(8 * len(bits) - 1)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
 def tidy() -> None:
     """Gives a Python worker's freed memory back, at the end of a task: workers live on."""
     gc.collect()
@@ -72,6 +102,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     star, first = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"), True
+    last = last_path()
     while not star.isEmpty() and (first or not _is_star(star)):
         first = False
         both = star.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("v").alias("y")), F.struct(F.col("v").alias("x"), F.col("u").alias("y")))).alias("e")).select("e.*")
@@ -80,8 +111,10 @@ def components(edges: DataFrame) -> DataFrame:
         nearest = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))
         small = large.join(nearest, "u").select(F.explode(pairs).alias("e")).select("e.*").where("u <> v").distinct()
-        previous, star = star, cut(small, "edges")
-        drop_path(spark, os.path.dirname(previous.inputFiles()[0]))
+        before = last
+        star, last = cut(small, "edges"), last_path()
+        _written.remove(before)
+        drop_path(spark, before)
     return star.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(star.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 

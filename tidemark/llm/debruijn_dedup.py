@@ -5,19 +5,23 @@ overlaps of WINDOW - 1 words.  A word is removed if a window over it occurs, as
 word sequence, at any other place, same document included.
 
 1. Every window has a least ANCHOR-word gram by hash (its minimiser), and equal
-   windows have the same one.  Grams are counted; a bitmap of fixed size over the
-   repeated ones tells which windows can be repeated.  It only saves work.
-2. Those windows are counted by 96-bit hash, with the least and largest hash of the
-   windows before and after them.  The repeated ones are the edges that matter; one
-   joins the next without branching if each is the other's only neighbour.  A join
-   on these links compacts paths: just their first and last edges go on.
+   windows have the same one.  Grams are counted; a bitmap over the repeated ones, sized
+   by their number up to ANCHOR_BITS, tells which windows can be repeated.  It only
+   saves work.
+2. Those windows are counted by 96-bit hash, with the least and largest hash (all 96
+   bits) of the windows before and after them.  The repeated ones are the edges that
+   matter; one joins the next without branching if each is the other's only neighbour.
+   A join on these links compacts paths: just their first and last edges go on.
 3. A second reading of the sources gives the coordinates of first and last edges; in
-   each text they alternate and so delimit the repeated spans, which is verified
-   when the spans meet their text again.
+   each text they alternate and so delimit the repeated spans.
+4. Verification: while the words of the spans are taken out, each span is digested by
+   SHA-256 over its words, and the spans of a path must all have the same words.  Paths
+   whose spans differ (windows that share 96 bits of hash) are decided window by window
+   by SHA-256, as is everything if some text's ends do not alternate; normally there are none.
 
 Rows of equal text are told apart by nothing but their number, so results are kept
 by text (128 bits of hashes of it), and any doc_id, null or repeated, will do.  Null
-texts have no words; the order of rows does not matter.
+texts have no words; an empty table gives no rows; the order of rows does not matter.
 """
 
 from __future__ import annotations
@@ -30,11 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import bitmap, cut, in_bitmap
 from tidemark.llm.words import mix, shingle_hashes, word_bounds, word_hashes
 
 WINDOW, ANCHOR = 35, 12
-ANCHOR_BITS, EDGE_BITS = 1 << 27, 1 << 26
+#: Bounds of the two prefilters (128 MB each); they are as large as eight bits an entry need.
+ANCHOR_BITS, EDGE_BITS = 1 << 30, 1 << 30
 
 
 def _words(text: str | None) -> np.ndarray:
@@ -64,51 +69,40 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["gram"])
 
 
-def _bitmap(values: DataFrame, column: str, bits: int) -> bytes:
-    """A bitmap of ``bits`` bits, whatever the input, over the low bits of a column."""
-    at = F.col(column).bitwiseAND(bits - 1) + 1
-    rows = values.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit"))
-    out = np.zeros(bits // 8, dtype=np.uint8)
-    for row in rows.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map")).toLocalIterator():
-        first = (int(row["bucket"]) - 1) * 4096
-        out[first : first + 4096] |= np.frombuffer(row["map"], dtype=np.uint8)
-    return out.tobytes()
-
-
-def _has(bits: np.ndarray, hashes: np.ndarray, size: int) -> np.ndarray:
-    at = hashes & np.uint64(size - 1)
-    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+def identity(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 96 bits by which windows are told apart: 64 (never 0, which stands for no window) and 32."""
+    check = shingle_hashes(mix(words ^ np.uint64(0xA0761D6478BD642F)), WINDOW)
+    return shingle_hashes(words, WINDOW) | np.uint64(1), (check >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _windows(words: np.ndarray, anchor_bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(window hashes, check hashes, positions of those that can be repeated)."""
     grams, least = anchors_of(words)
-    possible = np.flatnonzero(_has(anchor_bits, grams, ANCHOR_BITS)[least])
+    possible = np.flatnonzero(in_bitmap(anchor_bits, grams)[least])
     if not len(possible):
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32), possible
-    hashes = shingle_hashes(words, WINDOW) | np.uint64(1)  # 0 stands for no window
-    check = shingle_hashes(mix(words ^ np.uint64(0xA0761D6478BD642F)), WINDOW)
-    return hashes, (check >> np.uint64(32)).astype(np.uint32).view(np.int32), possible
+    return *identity(words), possible
 
 
 def _edges(anchor_map: bytes):
     bits = np.frombuffer(anchor_map, dtype=np.uint8)
+    kinds = [np.int64, np.int32] * 3
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 128):
-                parts: list[list[np.ndarray]] = [[np.zeros(0, dtype=np.int64)] for _ in range(4)]
+                parts: list[list[np.ndarray]] = [[np.zeros(0, dtype=k)] for k in kinds]
                 for text in batch.column("text").slice(start, 128).to_pylist():
                     words = _words(text)
                     if len(words) < WINDOW:
                         continue
                     hashes, check, at = _windows(words, bits)
                     if len(at):
-                        around = np.concatenate([[np.uint64(0)], hashes, [np.uint64(0)]])
-                        for part, values in zip(parts, (hashes[at].view(np.int64), check[at], around[at].view(np.int64), around[at + 2].view(np.int64)), strict=True):
+                        around = np.concatenate([[np.uint64(0)], hashes, [np.uint64(0)]]).view(np.int64)
+                        beside = np.concatenate([[np.int32(0)], check, [np.int32(0)]])
+                        for part, values in zip(parts, (around[at + 1], beside[at + 1], around[at], beside[at], around[at + 2], beside[at + 2]), strict=True):
                             part.append(values)
-                h, c, before, after = (np.concatenate(p) for p in parts)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c.astype(np.int32)), pa.array(before), pa.array(after)], names=["h", "c", "before", "after"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in parts], names=["h", "c", "bh", "bc", "ah", "ac"])
 
     return run
 
@@ -126,7 +120,7 @@ def _ends(anchor_map: bytes, edge_map: bytes):
                     if len(words) < WINDOW:
                         continue
                     hashes, check, at = _windows(words, bits)
-                    at = at[_has(wanted, hashes[at], EDGE_BITS)] if len(at) else at
+                    at = at[in_bitmap(wanted, hashes[at])] if len(at) else at
                     if len(at):
                         hs.append(hashes[at])
                         cs.append(check[at])
@@ -141,19 +135,37 @@ def _ends(anchor_map: bytes, edge_map: bytes):
     return run
 
 
+def _digest(raw: bytes, low: np.ndarray, high: np.ndarray, first: int, last: int) -> bytes:
+    """SHA-256 of the words first..last, whatever separates them."""
+    return hashlib.sha256(b" ".join([raw[low[i] : high[i]] for i in range(first, last + 1)])).digest()
+
+
+_SPAN = pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int32()), ("d", pa.binary())]))
+
+
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Takes the spans out; with ``windows`` (positions decided one by one) those instead."""
     for batch in batches:
+        decided = "windows" in batch.schema.names
         for start in range(0, batch.num_rows, 512):
             part = batch.slice(start, 512)
-            n_words, n_removed, digest = [], [], []
-            for text, firsts, lasts in zip(part.column("text").to_pylist(), part.column("firsts").to_pylist(), part.column("lasts").to_pylist(), strict=True):
+            n_words, n_removed, digest, spans, odd = [], [], [], [], []
+            starts = part.column("windows" if decided else "firsts").to_pylist()
+            stops = [None] * part.num_rows if decided else part.column("lasts").to_pylist()
+            for text, firsts, lasts in zip(part.column("text").to_pylist(), starts, stops, strict=True):
                 raw = (text or "").encode()
                 low, high = word_bounds(np.frombuffer(raw, dtype=np.uint8))
-                n = len(low)
-                if firsts:
-                    a, b = np.sort(np.array(firsts)), np.sort(np.array(lasts))
-                    if len(a) != len(b) or (a > b).any() or (a[1:] <= b[:-1]).any() or b[-1] + WINDOW > n:
-                        raise ValueError("path ends do not alternate in a source")
+                n, found, wrong = len(low), [], False
+                a = b = np.zeros(0, dtype=np.int64)
+                if decided:
+                    a = b = np.array(firsts or [], dtype=np.int64)
+                elif firsts or lasts:
+                    firsts = sorted(firsts, key=lambda f: f["at"])
+                    a, b = np.array([f["at"] for f in firsts], dtype=np.int64), np.sort(np.array(lasts, dtype=np.int64))
+                    wrong = bool(len(a) != len(b) or (a > b).any() or (a[1:] <= b[:-1]).any() or b[-1] + WINDOW > n)
+                    if not wrong:
+                        found = [{"h": f["h"], "c": f["c"], "d": _digest(raw, low, high, i, j + WINDOW - 1)} for f, i, j in zip(firsts, a.tolist(), b.tolist(), strict=True)]
+                if len(a) and not wrong:
                     depth = np.zeros(n + 1, dtype=np.int64)
                     np.add.at(depth, a, 1)
                     np.add.at(depth, b + WINDOW, -1)
@@ -164,37 +176,98 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n_words.append(n)
                 n_removed.append(n - len(keep))
                 digest.append(hashlib.sha256(kept).hexdigest())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+                spans.append(found)
+                odd.append(wrong)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), part.column("k1"), part.column("k2"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string()), pa.array(spans, _SPAN), pa.array(odd, pa.bool_())],
+                names=["doc_id", "k1", "k2", "n_words", "n_removed", "kept_sha256", "spans", "odd"],
+            )
+
+
+def _exact_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k1, k2, at, d, copies): windows of the given spans, all of a text's where there are none given, by SHA-256."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {c: batch.column(c)[i].as_py() for c in ("text", "k1", "k2", "copies", "s")}
+            raw = (row["text"] or "").encode()
+            low, high = word_bounds(np.frombuffer(raw, dtype=np.uint8))
+            spans = [(0, len(low) - WINDOW)] if row["s"] is None else [(s["a"], s["b"]) for s in row["s"]]
+            at = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in spans]))
+            for lo in range(0, len(at), 20_000):
+                some = at[lo : lo + 20_000].tolist()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row["k1"]] * len(some), pa.int64()), pa.array([row["k2"]] * len(some), pa.int64()), pa.array(some, pa.int64()),
+                     pa.array([_digest(raw, low, high, x, x + WINDOW - 1) for x in some], pa.binary()), pa.array([row["copies"]] * len(some), pa.int64())],
+                    names=["k1", "k2", "at", "d", "copies"],
+                )
 
 
 def path_ends(rows: DataFrame) -> DataFrame:
-    """(k1, k2, firsts, lasts): window positions at which repeated paths begin and end in each text."""
-    grams = rows.select("text").mapInArrow(_anchors, "gram bigint").groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
-    anchors = _bitmap(grams, "gram", ANCHOR_BITS)
-    edges = rows.select("text").mapInArrow(_edges(anchors), "h bigint, c int, before bigint, after bigint").groupBy("h", "c").agg(
-        F.count("*").alias("n"), F.min("before").alias("b1"), F.max("before").alias("b2"), F.min("after").alias("a1"), F.max("after").alias("a2")
+    """(k1, k2, firsts, lasts): window positions at which repeated paths begin (with the path) and end in each text."""
+    grams = cut(rows.select("text").mapInArrow(_anchors, "gram bigint").groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "grams")
+    anchors = bitmap(grams, "gram", ANCHOR_BITS)
+    before, after = F.struct("bh", "bc"), F.struct("ah", "ac")
+    edges = rows.select("text").mapInArrow(_edges(anchors), "h bigint, c int, bh bigint, bc int, ah bigint, ac int").groupBy("h", "c").agg(
+        F.count("*").alias("n"), F.min(before).alias("b1"), F.max(before).alias("b2"), F.min(after).alias("a1"), F.max(after).alias("a2")
     )
-    only_before = F.when((F.col("b1") == F.col("b2")) & (F.col("b1") != 0), F.col("b1"))
-    only_after = F.when((F.col("a1") == F.col("a2")) & (F.col("a1") != 0), F.col("a1"))
-    edges = cut(edges.where("n > 1").select("h", "c", only_before.alias("before"), only_after.alias("after")), "edges")
+    only_before = F.when((F.col("b1") == F.col("b2")) & (F.col("b1.bh") != 0), F.struct(F.col("b1.bh").alias("h"), F.col("b1.bc").alias("c")))
+    only_after = F.when((F.col("a1") == F.col("a2")) & (F.col("a1.ah") != 0), F.struct(F.col("a1.ah").alias("h"), F.col("a1.ac").alias("c")))
+    edges = cut(edges.where("n > 1").select(F.struct("h", "c").alias("e"), only_before.alias("before"), only_after.alias("after")), "edges")
     # a link x -> y that both ends agree on does not branch
-    forward = edges.where("after is not null").select(F.col("h").alias("x"), F.col("after").alias("y"), F.lit(1).alias("side"))
-    backward = edges.where("before is not null").select(F.col("before").alias("x"), F.col("h").alias("y"), F.lit(2).alias("side"))
-    links = cut(forward.join(backward.select("x", "y"), ["x", "y"], "left_semi").select("x", "y"), "links")
-    first = edges.join(links.select(F.col("y").alias("h")), "h", "left_anti").select("h", "c", F.lit(True).alias("first"))
-    last = edges.join(links.select(F.col("x").alias("h")), "h", "left_anti").select("h", "c", F.lit(False).alias("first"))
+    forward = edges.where("after is not null").select(F.col("e").alias("x"), F.col("after").alias("y"))
+    backward = edges.where("before is not null").select(F.col("before").alias("x"), F.col("e").alias("y"))
+    links = cut(forward.join(backward, ["x", "y"], "left_semi"), "links")
+    first = edges.join(links.select(F.col("y").alias("e")), "e", "left_anti").select("e.h", "e.c", F.lit(True).alias("first"))
+    last = edges.join(links.select(F.col("x").alias("e")), "e", "left_anti").select("e.h", "e.c", F.lit(False).alias("first"))
     ends = cut(first.unionByName(last), "ends")
-    found = rows.select("k1", "k2", "text").mapInArrow(_ends(anchors, _bitmap(ends, "h", EDGE_BITS)), "h bigint, c int, k1 bigint, k2 bigint, at bigint")
+    found = rows.select("k1", "k2", "text").mapInArrow(_ends(anchors, bitmap(ends.select("h"), "h", EDGE_BITS)), "h bigint, c int, k1 bigint, k2 bigint, at bigint")
     # equal texts report the same places; sets count them once
     return found.join(ends, ["h", "c"]).groupBy("k1", "k2").agg(
-        F.collect_set(F.when(F.col("first"), F.col("at"))).alias("firsts"), F.collect_set(F.when(~F.col("first"), F.col("at"))).alias("lasts")
+        F.collect_set(F.when(F.col("first"), F.struct("at", "h", "c"))).alias("firsts"), F.collect_set(F.when(~F.col("first"), F.col("at"))).alias("lasts")
     )
 
 
+def _decided_windows(rows: DataFrame, ends: DataFrame, doubted: DataFrame, every: bool) -> DataFrame:
+    """(k1, k2, windows) of texts in which a path is in doubt: positions of windows that truly repeat.
+
+    A window belongs to one path, so its equals lie on the same path and are in doubt too:
+    counting among the doubted decides.  With ``every`` all windows of all texts are counted.
+    """
+    same = rows.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.first("text").alias("text"))
+    pairs = F.arrays_zip(F.array_sort("firsts").alias("f"), F.array_sort("lasts").alias("l"))
+    spans = ends.select("k1", "k2", F.explode(pairs).alias("p")).select("k1", "k2", F.col("p.f.at").alias("a"), F.col("p.l").alias("b"), "p.f.h", "p.f.c")
+    if every:
+        asked = same.withColumn("s", F.lit(None).cast("array<struct<a:bigint,b:bigint>>"))
+    else:
+        hit = spans.join(doubted, ["h", "c"], "left_semi")
+        asked = same.join(hit.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("s")), ["k1", "k2"])
+    windows = cut(asked.select("text", "k1", "k2", "copies", "s").mapInArrow(_exact_windows, "k1 bigint, k2 bigint, at bigint, d binary, copies bigint"), "exact")
+    again = windows.groupBy("d").agg(F.sum("copies").alias("n")).where("n > 1").select("d")
+    sure = windows.join(again, "d", "left_semi").select("k1", "k2", "at")
+    if every:
+        return same.select("k1", "k2").join(sure.groupBy("k1", "k2").agg(F.collect_set("at").alias("windows")), ["k1", "k2"], "left")
+    texts = hit.select("k1", "k2").distinct()
+    # the other spans of these texts stand as they are
+    rest = spans.join(doubted, ["h", "c"], "left_anti").join(texts, ["k1", "k2"], "left_semi")
+    sure = sure.unionByName(rest.select("k1", "k2", F.explode(F.sequence("a", "b")).alias("at")))
+    return texts.join(sure.groupBy("k1", "k2").agg(F.collect_set("at").alias("windows")), ["k1", "k2"], "left")
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256; one row per input row."""
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), F.col("text")).alias("k2"))
     kind = rows.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, k1 bigint, k2 bigint, n_words bigint, n_removed bigint, kept_sha256 string, spans array<struct<h:bigint,c:int,d:binary>>, odd boolean"
+    out = ["doc_id", "n_words", "n_removed", "kept_sha256"]
     ends = cut(path_ends(rows), "spans")
-    whole = rows.join(ends, ["k1", "k2"], "left").select("doc_id", "text", "firsts", "lasts")
-    return whole.mapInArrow(_removed, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string")
+    found = cut(rows.join(ends, ["k1", "k2"], "left").select("doc_id", "k1", "k2", "text", "firsts", "lasts").mapInArrow(_removed, schema), "verified")
+
+    spans = found.select(F.explode("spans").alias("s")).select("s.*")
+    compared = spans.groupBy("h", "c").agg(F.count("*").alias("n"), F.min("d").alias("least"), F.max("d").alias("most"))
+    doubted = cut(compared.where("n < 2 or least <> most").select("h", "c"), "doubted")
+    every = not found.where("odd").isEmpty()
+    if not every and doubted.isEmpty():
+        return found.select(*out)
+    decided = cut(_decided_windows(rows, ends, doubted, every), "decided")
+    again = rows.join(decided, ["k1", "k2"]).select("doc_id", "k1", "k2", "text", "windows").mapInArrow(_removed, schema)
+    return found.join(decided, ["k1", "k2"], "left_anti").select(*out).unionByName(again.select(*out))
