@@ -7,16 +7,19 @@ sequence if it has fewer words; empty without words).  Documents are linked at
 1. One pass gives each row its set's size and 128-bit fingerprint, 128 MinHash
    values and the heads of 32 sorted signature orders ("trees").  Rows of equal
    sets become one node before anything is compared.
-2. In each tree, nodes whose order agrees to depth 4 are a region.  Regions of
-   more than REGION nodes are split at the next values of that order (deeper
-   where it is crowded), so the depth follows the data; inside, nodes are read in
-   sorted order and neighbours by longest common prefix are compared on their
-   whole signatures.  Those that agree in at least 62 of 128 values are joined
-   into candidate families.  A link at similarity 0.75 is missed by all 32 trees
-   with probability (1 - 0.75^4)^32 < 6e-6, by the agreement test < 1e-9.
-3. Families are confirmed on the full sets through an inverted index.  Families
-   beyond FAMILY nodes are dealt to blocks that first link against common pivots,
-   then block pairs of different components are compared exactly.
+2. Each tree sorts the nodes by its order of the signature.  Nodes whose orders agree
+   to depth 4 are a region; from there the depth follows the data.  The longest common
+   prefixes of neighbours split a region into ever deeper intervals, which are joined
+   from the longest prefix to the shortest: where two intervals meet, the neighbours are
+   compared on their whole signatures (62 of 128 values must agree), and only if this does
+   not make one family of both, members of different families are too.  So a region of
+   copies takes one comparison a node, and no pair of a region stays undecided.  Regions
+   of more than REGION nodes are dealt to tasks by the next values of their order; what
+   that parts is compared block by block.  A link at similarity 0.75 is missed by all 32
+   trees with probability (1 - 0.75^4)^32 < 6e-6, by the agreement test < 1e-9.
+3. The candidate families so found are confirmed on the full sets through an inverted
+   index.  Families beyond FAMILY nodes are dealt to blocks that first link against
+   common pivots, then block pairs of different components are compared exactly.
 
 Nulls: a null text has an empty set and no links; rows with a null doc_id take
 part in linking, and a component without any doc_id gets a null component_id.
@@ -32,18 +35,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, cut, tidy
-from tidemark.llm.linking import exact_links, roots_of
+from tidemark.llm.common import bitmap, components, cut, tidy
+from tidemark.llm.linking import exact_links
 from tidemark.llm.words import mix, sequence_hash, shingle_hashes, word_hashes
 
 TREES, DEPTH, BITS = 32, 4, 128
 REGION = 1024
-FAMILY = 4000
-FAMILY_VALUES = 4_000_000
-BLOCK = 2000
-PIVOTS = 32
+FAMILY = 500
+FAMILY_VALUES = 1_000_000
+BLOCK = 500
+PIVOTS = 16
 AGREE = 62
-FILTER_BITS = 1 << 25
+ORDER_BYTES = 16
+#: Bound of the prefilter before the sets are read again: 128 MB, as large as eight bits a node need.
+FILTER_BITS = 1 << 30
 
 _rng = np.random.Generator(np.random.PCG64(977))
 _A = (_rng.integers(0, 1 << 31, BITS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)).astype(np.uint32)
@@ -108,51 +113,106 @@ def _describe(k: int):
     return run
 
 
+def common_prefixes(orders: np.ndarray) -> np.ndarray:
+    """Length of the longest common prefix of each row with the next."""
+    differ = orders[1:] != orders[:-1]
+    return np.where(differ.any(axis=1), differ.argmax(axis=1), orders.shape[1])
+
+
+def interval_links(orders: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(member, root) of the families of one sorted region, built from its deepest intervals up."""
+    m = len(sigs)
+    family = list(range(m))  # a family is named by its first member
+    members = [[i] for i in range(m)]
+    # of the interval that begins or ends at a position: its other end, and the families in it
+    low, high = list(range(m)), list(range(m))
+    inside: list[list[int]] = [[i] for i in range(m)]
+
+    def agree(i: int, others: np.ndarray) -> np.ndarray:
+        return (sigs[others] == sigs[i]).sum(axis=1) >= AGREE
+
+    def join(a: int, b: int) -> int:
+        a, b = (a, b) if len(members[a]) >= len(members[b]) else (b, a)
+        for i in members[b]:
+            family[i] = a
+        members[a] += members[b]
+        members[b] = []
+        return a
+
+    for at in np.argsort(-common_prefixes(orders), kind="stable").tolist():
+        lo, hi = low[at], high[at + 1]
+        left, right = inside[lo], inside[at + 1]
+        if (sigs[at] == sigs[at + 1]).sum() >= AGREE:  # the neighbours of the longest prefix first
+            join(family[at], family[at + 1])
+            left, right = list({family[f] for f in left}), list({family[f] for f in right})
+        if len(left) == len(right) == 1 and left == right:
+            both = left
+        else:
+            few, many = (left, right) if len(left) <= len(right) else (right, left)
+            for f in list(few):
+                own = family[f]
+                rest = [g for g in {family[g] for g in many} if g != own]
+                if not rest:
+                    continue
+                others = np.array([i for g in rest for i in members[g] if lo <= i <= hi])
+                for i in list(members[own]):
+                    if lo <= i <= hi and len(others):
+                        near = {family[x] for x in others[agree(i, others)].tolist()} - {family[i]}
+                        if near:
+                            for g in near:
+                                join(family[i], g)
+                            others = others[[family[x] != family[i] for x in others.tolist()]]
+            both = list({family[f] for f in left} | {family[f] for f in right})
+        low[hi], high[lo], inside[lo] = lo, hi, both
+    root = np.array([min(members[f]) for f in family], dtype=np.int64) if m else np.zeros(0, dtype=np.int64)
+    moved = np.flatnonzero(root != np.arange(m))
+    return moved, root[moved]
+
+
 def _region_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (region, node, sig), sorted by region and order: links that span similar neighbours."""
-    keys, nodes, sigs = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros((0, BITS), dtype=np.uint8))
-
-    def links(keys, nodes, sigs) -> pa.RecordBatch:
-        a, b = [], []
-        edge = np.flatnonzero(np.diff(keys)) + 1
-        bounds = np.concatenate([[0], edge, [len(keys)]])
-        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+    """Rows (region, node, sig, order), sorted by region and order: links that span candidate families."""
+    none = np.zeros(0, dtype=np.int64)
+    keys, nodes, sigs, orders = none, none, np.zeros((0, BITS), dtype=np.uint8), np.zeros((0, ORDER_BYTES), dtype=np.uint8)
+
+    def links(stop: int) -> pa.RecordBatch:
+        a, b = [none], [none]
+        edge = np.flatnonzero(np.diff(keys[:stop])) + 1
+        bounds = np.concatenate([[0], edge, [stop]]).astype(np.int64)
+        sizes = np.diff(bounds)
+        two = bounds[:-1][sizes == 2]  # a region of two is one comparison
+        two = two[(sigs[two] == sigs[two + 1]).sum(axis=1) >= AGREE]
+        a.append(nodes[two + 1])
+        b.append(nodes[two])
+        for lo, hi in zip(bounds[:-1][sizes > 2].tolist(), bounds[1:][sizes > 2].tolist(), strict=True):
             for at in range(lo, hi, REGION):
                 first = max(lo, at - 16)  # the last neighbours of the part before
-                part = sigs[first : min(hi, at + REGION)]
-                m = len(part)
-                if m < 2:
-                    continue
-                left, right = [], []
-                for i in range(m - 1):
-                    near = np.flatnonzero((part[i + 1 :] == part[i]).sum(axis=1) >= AGREE)
-                    left.append(np.full(len(near), i))
-                    right.append(near + i + 1)
-                root = roots_of(m, np.concatenate(left), np.concatenate(right))
-                moved = np.flatnonzero(root != np.arange(m))
+                last = min(hi, at + REGION)
+                moved, root = interval_links(orders[first:last], sigs[first:last])
                 a.append(nodes[first + moved])
-                b.append(nodes[first + root[moved]])
-        none = np.zeros(0, dtype=np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a or [none])), pa.array(np.concatenate(b or [none]))], names=["a", "b"])
+                b.append(nodes[first + root])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    def matrix(column: pa.Array, width: int) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, width)
 
     for batch in batches:
         if not batch.num_rows:
             continue
         keys = np.concatenate([keys, batch.column("region").to_numpy(zero_copy_only=False)])
         nodes = np.concatenate([nodes, batch.column("node").to_numpy(zero_copy_only=False)])
-        more = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, BITS)
-        sigs = np.concatenate([sigs, more])
+        sigs = np.concatenate([sigs, matrix(batch.column("sig"), BITS)])
+        orders = np.concatenate([orders, matrix(batch.column("order"), ORDER_BYTES)])
         edges = np.flatnonzero(np.diff(keys))
         done = int(edges[-1]) + 1 if len(edges) else 0
         if not done and len(keys) > 16 * REGION:
             done = len(keys) - REGION  # inside one region: hand on its parts, keep the neighbours
-            yield links(keys[:done], nodes[:done], sigs[:done])
+            yield links(done)
             done -= 16
         elif done:
-            yield links(keys[:done], nodes[:done], sigs[:done])
-        keys, nodes, sigs = keys[done:], nodes[done:], sigs[done:]
+            yield links(done)
+        keys, nodes, sigs, orders = keys[done:], nodes[done:], sigs[done:], orders[done:]
     if len(keys):
-        yield links(keys, nodes, sigs)
+        yield links(len(keys))
 
 
 def _compare_stragglers(rows: pd.DataFrame) -> pd.DataFrame:
@@ -186,9 +246,10 @@ def _straggler_links(crowd: DataFrame, families: DataFrame, sigs: DataFrame) ->
     return members.unionByName(stragglers).groupBy("head", "x", "y").applyInPandas(_compare_stragglers, "a bigint, b bigint").distinct()
 
 
-def _sets_of(k: int, passed: bytes | None):
+def _sets_of(k: int, passed: bytes):
     """(c1, c2, values) of the rows that may be in a family; ``passed`` is a bitmap over c1."""
-    bits = None if passed is None else np.frombuffer(passed, dtype=np.uint8)
+    bits = np.frombuffer(passed, dtype=np.uint8)
+    size = 8 * len(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,8 +259,8 @@ def _sets_of(k: int, passed: bytes | None):
                     values = shingle_set(text, k)
                     if len(values):
                         a, b = _fingerprint(values)
-                        at = a & (FILTER_BITS - 1)
-                        if bits is None or bits[at >> 3] >> (at & 7) & 1:
+                        at = a & (size - 1)
+                        if bits[at >> 3] >> (at & 7) & 1:
                             rows.append((a, b, values.tobytes()))
                 c1, c2, blob = zip(*rows, strict=True) if rows else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(blob, pa.binary())], names=["c1", "c2", "blob"])
@@ -208,18 +269,6 @@ def _sets_of(k: int, passed: bytes | None):
     return run
 
 
-def _filter_of(nodes: DataFrame) -> bytes:
-    """A bitmap of FILTER_BITS bits (4 MB whatever the input) over c1; the join after it is exact."""
-    at = F.col("c1").bitwiseAND(FILTER_BITS - 1)
-    rows = nodes.select(F.bitmap_bucket_number(at + 1).alias("bucket"), F.bitmap_bit_position(at + 1).alias("bit"))
-    out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    for row in rows.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map")).toLocalIterator():
-        part = np.unpackbits(np.frombuffer(row["map"], dtype=np.uint8), bitorder="little")
-        found = np.flatnonzero(part) + (int(row["bucket"]) - 1) * 32768
-        np.bitwise_or.at(out, found >> 3, (1 << (found & 7)).astype(np.uint8))
-    return out.tobytes()
-
-
 def _confirm(similarity: tuple[int, int]):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates("node").sort_values("node")
@@ -250,7 +299,7 @@ def near_components(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (
 
     heads = nodes.select("node", F.posexplode("heads").alias("tree", "head"))
     crowded = heads.groupBy("head").agg(F.count("*").alias("m")).where("m > 1")
-    order = F.expr(f"substring(concat(sig, sig), (tree + 1) * {DEPTH} + 1, 16)")
+    order = F.expr(f"substring(concat(sig, sig), (tree + 1) * {DEPTH} + 1, {ORDER_BYTES})")
     deeper = F.when(F.col("m") > REGION * 4096, 3).when(F.col("m") > REGION * 64, 2).when(F.col("m") > REGION, 1).otherwise(0)
     crowd = heads.join(crowded.where(F.col("m") > REGION), "head").select("head", "m", "node")
     members = (
@@ -259,7 +308,7 @@ def near_components(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (
         .withColumn("deeper", deeper)
         .withColumn("region", F.xxhash64("head", F.expr("substring(order, 1, deeper)")))
         .select("region", "node", "sig", "order")
-        .repartition("region").sortWithinPartitions("region", "order", "node").select("region", "node", "sig")
+        .repartition("region").sortWithinPartitions("region", "order", "node")
     )
     similar = cut(members.mapInArrow(_region_links, "a bigint, b bigint"), "similar")
     families = cut(components(similar).withColumnRenamed("component", "family"), "families")
@@ -270,7 +319,7 @@ def near_components(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (
             families = cut(components(stars.unionByName(more)).withColumnRenamed("component", "family"), "families")
 
     named = families.join(nodes.select("node", "c1", "c2"), "node")
-    blobs = rows.select("text").mapInArrow(_sets_of(k, _filter_of(named)), "c1 bigint, c2 bigint, blob binary")
+    blobs = rows.select("text").mapInArrow(_sets_of(k, bitmap(named.select("c1"), "c1", FILTER_BITS)), "c1 bigint, c2 bigint, blob binary")
     blobs = blobs.groupBy("c1", "c2").agg(F.first("blob").alias("blob"))
     sets = named.join(blobs, ["c1", "c2"]).select("family", "node", "blob")
     sizes = families.join(nodes.select("node", "n"), "node").groupBy("family").agg(F.count("*").alias("m"), F.sum("n").alias("values"))
@@ -307,7 +356,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 def _large_links(sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """Links inside families too large for one task, in blocks of about BLOCK nodes."""
     count = sets.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = sets.join(F.broadcast(count), "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = sets.join(count, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pivot = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks") * F.lit(BLOCK)) < PIVOTS
     everywhere = F.when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     first = dealt.select("family", "node", "blob", F.explode(everywhere).alias("task"))

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import cut
 
 ROUNDS = 40
+#: Blocks whose sums one task adds up; a source of 10^8 blocks has some thousands of groups.
+GROUP = 1 << 14
 
 
 def exponent_for(sources: DataFrame, repeat_limit: float, entropy: float | None) -> float:
@@ -72,10 +74,18 @@ def mixed(docs: DataFrame, carry: list[str], repeat_limit: float = 2.0, entropy:
 
     block = F.pmod(F.col("u"), F.col("blocks"))
     inner = F.xxhash64("u", F.lit(1))
-    rows = narrow.join(plan.where("rest > 0").select("s", "blocks", "rest"), "s").withColumns({"block": block, "v": inner})
-    upto = Window.partitionBy("s").orderBy("block")
-    sums = rows.groupBy("s", "block").agg(F.sum("tokens").alias("n"), F.first("rest").alias("rest")).withColumn("end", F.sum("n").over(upto))
-    edge = sums.where("end > rest and end - n <= rest").select("s", "block", (F.col("rest") - F.col("end") + F.col("n")).alias("left"))
+    rows = narrow.join(plan.where("rest > 0").select("s", "blocks"), "s").withColumns({"block": block, "v": inner})
+    # where the budget ends: the group of blocks, in it the block, in that the document; each
+    # running sum is over at most GROUP blocks, as many groups as that leaves, or one block
+    def ends(sums: DataFrame, by: list[str], unit: str) -> DataFrame:
+        """The unit in which the running sum passes ``rest``, with what is ``left`` for it."""
+        run = sums.withColumn("end", F.sum("n").over(Window.partitionBy(*by).orderBy(unit)))
+        return run.where("end > rest and end - n <= rest").select(*by, unit, (F.col("rest") - F.col("end") + F.col("n")).alias("rest"))
+
+    rests = plan.where("rest > 0").select("s", "rest")
+    sums = cut(rows.groupBy("s", F.floor(F.col("block") / GROUP).alias("group"), "block").agg(F.sum("tokens").alias("n")), "blocks")
+    in_group = ends(sums.groupBy("s", "group").agg(F.sum("n").alias("n")).join(rests, "s"), ["s"], "group")
+    edge = ends(sums.join(in_group, ["s", "group"]), ["s", "group"], "block").select("s", "block", F.col("rest").alias("left"))
     inside = rows.select("s", "block", "v", "tokens").join(edge, ["s", "block"]).withColumn("end", F.sum("tokens").over(Window.partitionBy("s", "block").orderBy("v")))
     limit = inside.groupBy("s", "block").agg(F.max(F.when(F.col("end") <= F.col("left"), F.col("v"))).alias("limit")).withColumnRenamed("block", "edge")
     plan = cut(plan.join(limit, "s", "left"), "plan")
