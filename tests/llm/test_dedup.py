@@ -52,7 +52,7 @@ EXACT = [(1, "x"), (2, None), (3, ""), (4, "x"), (5, "X"), (6, "x "), (7, "y" *
 
 
 def test_exact_groups(spark, tmp_path):
-    found = fingerprint_dedup.exact_groups(stored(spark, tmp_path, EXACT), ["doc_id", "node"]).collect()
+    found = fingerprint_dedup.exact_groups(stored(spark, tmp_path, EXACT)).collect()
     assert len(found) == len(EXACT)
     rows = [(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in found]
     assert sorted(r for r in rows if r[0] in (1, 2, 3, 7, 8, 9)) == [(1, 4, 4, False), (2, 3, 2, False), (3, 3, 2, True), (7, 8, 2, False), (8, 8, 2, True), (9, 9, 1, True)]
@@ -60,17 +60,34 @@ def test_exact_groups(spark, tmp_path):
     assert {(r[2], r[3]) for r in rows if r[0] is None} == {(4, False), (1, True)}
     texts = {i: t or "" for i, t in EXACT}
     assert all(r["text_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest() for r in found if r["doc_id"] is not None)
-    assert all(r["node"] == "y" for r in found)
+    kept = fingerprint_dedup.without_copies(stored(spark, tmp_path / "again", EXACT))
+    assert kept.columns == [c.split()[0] for c in DOC.split(", ")] and all(r["node"] == "y" for r in kept.collect())
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(None, "lone"), (3, ""), (4, "x"), (5, "X"), (6, "x "), (8, "y" * 200_000), (9, "y" * 199_999 + "z")], key=str)
 
 
 def test_exact_groups_of_colliding_fingerprints(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(fingerprint_dedup, "fingerprint", lambda data: (0, 0, 0))
-    found = by_id(fingerprint_dedup.exact_groups(stored(spark, tmp_path, [(1, "x"), (2, "y"), (3, "x"), (4, "")]), ["doc_id"]).collect())
+    found = by_id(fingerprint_dedup.exact_groups(stored(spark, tmp_path, [(1, "x"), (2, "y"), (3, "x"), (4, "")])).collect())
     assert {i: (r["keep_id"], r["group_size"], r["kept"]) for i, r in found.items()} == {1: (3, 2, False), 2: (2, 1, True), 3: (3, 2, True), 4: (4, 1, True)}
 
 
+def test_chunks_of_huge_texts_are_hashed_apart(spark, tmp_path, monkeypatch):
+    """Texts of many chunks and tasks: the same fingerprints as in one piece, and the same groups."""
+    from pyspark.sql import functions as F
+
+    huge = "ab\u00e9" * 120_000
+    texts = [(1, huge), (2, huge), (3, huge[:-1] + "!"), (4, "!" + huge[1:]), (5, "s"), (6, ""), (7, "x" * fingerprint_dedup.CHUNK), (8, "x" * (2 * fingerprint_dedup.CHUNK))]
+    docs = stored(spark, tmp_path, texts)
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), F.col("text").alias("_text"))
+    want = {i: fingerprint_dedup.fingerprint(t.encode()) for i, t in texts}
+    monkeypatch.setattr(fingerprint_dedup, "LONG", fingerprint_dedup.CHUNK // 2)
+    assert {r["doc_id"]: (r["_n"], r["_a"], r["_b"]) for r in fingerprint_dedup.described(rows).collect()} == want
+    found = by_id(fingerprint_dedup.exact_groups(docs).collect())
+    assert {i: (r["keep_id"], r["group_size"]) for i, r in found.items()} == {1: (2, 2), 2: (2, 2), **{i: (i, 1) for i in range(3, 9)}}
+
+
 def test_exact_groups_of_nothing(spark, tmp_path):
-    assert fingerprint_dedup.exact_groups(stored(spark, tmp_path, []), ["doc_id"]).collect() == []
+    assert fingerprint_dedup.exact_groups(stored(spark, tmp_path, [])).collect() == []
 
 
 # components and links

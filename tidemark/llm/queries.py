@@ -49,7 +49,7 @@ def op8_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_fingerprint_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint_dedup.exact_groups(table(spark, sf_dir, "documents"), ["doc_id"])
+    return fingerprint_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
