@@ -165,6 +165,13 @@ def test_archives_round_trip(spark, tmp_path):
     assert found == want
 
 
+def test_archives_keep_the_ids_type(spark, tmp_path):
+    pages = spark.createDataFrame([("a-1", "u", "q" * 200), ("a-2", "u", "q" * 200), (None, "u", "")], "page_id string, url string, html string")
+    warc.write_archives(pages, str(tmp_path / "archive"))
+    found = warc.page_captures(warc.assembled(warc.read_records(spark, str(tmp_path / "archive"))), "string").collect()
+    assert sorted(((r["page_id"], r["record_type"], r["refers_to"]) for r in found), key=str) == [("a-1", "response", None), ("a-2", "revisit", "a-1"), (None, "response", None)]
+
+
 def test_archives_of_nothing(spark, tmp_path):
     warc.write_archives(stored(spark, tmp_path, [], PAGE), str(tmp_path / "archive"))
     assert warc.page_captures(warc.assembled(warc.read_records(spark, str(tmp_path / "archive")))).collect() == []
@@ -293,6 +300,38 @@ def test_one_more_shard_moves_little():
     assert all(a == b or b == 8 for a, b in moved) and sum(a != b for a, b in moved) < 500
 
 
+def test_overflow_goes_clockwise_by_brute_force(spark, tmp_path):
+    """Every key walked alone: its own shard if there is room, else the next shard clockwise that has some."""
+    rng = random.Random(12)
+    texts = [(i, f"t{rng.randrange(90)}") for i in range(700)] + [(1000 + i, "hot " * 3) for i in range(300)] + [(5000, "long " * 60_000), (5001, None), (5002, "")]
+    shards, virtual = 5, 3
+    found = ring_sharding.shard_rows(stored(spark, tmp_path, texts, DOC), shards, virtual).collect()
+    nodes, room = ring_sharding.ring(shards, virtual), [len(texts) // shards + (s < len(texts) % shards) for s in range(shards)]
+
+    def arc_of(text):
+        place = spark.sql("select pmod(xxhash64(:t), :n) as p", {"t": text, "n": ring_sharding.SLOTS}).first()["p"]
+        return next((i for i, (at, _) in enumerate(nodes) if at >= place), 0)
+
+    arcs = {t: arc_of(t or "") for t in {t for _, t in texts}}
+    want, waiting = collections.Counter(), collections.Counter(arcs[t] for _, t in texts)
+    for arc in sorted(waiting):  # first every arc's keys to their own shard
+        for _ in range(waiting[arc]):
+            if room[nodes[arc][1]]:
+                room[nodes[arc][1]] -= 1
+                want[arc, nodes[arc][1]] += 1
+                waiting[arc] -= 1
+    for arc in sorted(waiting):  # then what is left over walks on
+        for _ in range(waiting[arc]):
+            step = arc
+            while not room[nodes[step % len(nodes)][1]]:
+                step += 1
+            room[nodes[step % len(nodes)][1]] -= 1
+            want[arc, nodes[step % len(nodes)][1]] += 1
+    by_id = dict(texts)
+    assert collections.Counter((arcs[by_id[r["doc_id"]]], r["shard"]) for r in found) == want
+    assert next(r["size"] for r in found if r["doc_id"] == 5000) == 300_001
+
+
 def test_flows_fill_up_to_the_bound():
     nodes = ring_sharding.ring(4, 16)
     counts = {0: 500, 3: 20, 9: 77}

@@ -15,14 +15,16 @@ def pairs(dim, n, seed=9):
     return x, 0.93 * x + np.sqrt(1 - 0.93**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
 
 
-@pytest.mark.parametrize("dim", [128, 384, 768])
-def test_recall_by_dimension(dim):
-    x, y = pairs(dim, 4000)
-    met = 0
-    for at in range(0, 4000, 500):
-        a, b = embedding_lsh.hashes(x[at : at + 500]), embedding_lsh.hashes(y[at : at + 500])
+@pytest.mark.parametrize(("dim", "rows"), [(64, 1000), (384, 1000), (1024, 1000), (64, 10**9), (384, 10**9)])
+def test_recall_by_dimension_and_size(dim, rows):
+    """Of pairs at the threshold, also with the parameters of a very large table."""
+    n = 4000 if dim < 100 else 1000
+    x, y = pairs(dim, n)
+    met, functions = 0, embedding_lsh.functions_of(rows)
+    for at in range(0, n, 500):
+        a, b = embedding_lsh.hashes(x[at : at + 500], functions), embedding_lsh.hashes(y[at : at + 500], functions)
         met += ((a[:, :, :1] == b).any(axis=2) | (b[:, :, :1] == a).any(axis=2)).any(axis=1).sum()
-    assert met / 4000 > 0.999
+    assert met / n > 0.998
 
 
 def test_near_vectors_of_many_components(spark):

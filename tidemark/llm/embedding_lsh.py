@@ -3,7 +3,8 @@
 A hash function turns the unit vector by three rounds of random signs and a fast
 Hadamard transform and takes the coordinate of largest magnitude with its sign
 (Andoni et al., Practical and Optimal LSH for Angular Distance, 2015).  FUNCTIONS
-of them make a bucket, and there are TABLES tables, more above 128 components.  Each vector also probes the
+of them make a bucket (one more for tables of over MANY rows), and there are TABLES
+tables, more above 128 components and with more functions.  Each vector also probes the
 buckets that replace its values by their runners-up, those of least loss first.
 Pairs that meet in a bucket, one of them by its own bucket, are verified by the
 cosine in double precision.
@@ -34,6 +35,7 @@ from tidemark.llm.words import mix
 
 FUNCTIONS, TABLES, PROBES = 3, 12, 6
 CHUNK = 1024
+MANY = 10**8
 SEED = 31
 
 
@@ -48,28 +50,36 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def tables_of(size: int) -> int:
-    """Tables for vectors of ``size`` (a power of two): buckets are finer the more components there are."""
-    return TABLES + 4 * max(0, size.bit_length() - 8)
+def functions_of(rows: int) -> int:
+    """Functions a bucket for a table of so many rows: FUNCTIONS, and more beyond MANY rows, so
+    that unrelated vectors in a bucket do not grow with the table."""
+    return FUNCTIONS + (rows > MANY)
 
 
-def hashes(unit: np.ndarray) -> np.ndarray:
-    """(vectors, tables, 1 + PROBES) bucket numbers: the own bucket, then the probes."""
+def tables_of(size: int, functions: int = FUNCTIONS) -> int:
+    """Tables for vectors of ``size`` (a power of two): buckets are finer the more components
+    there are, and with one function more each pair meets in fewer of them."""
+    tables = TABLES + 4 * max(0, size.bit_length() - 8)
+    return tables if functions == FUNCTIONS else 2 * tables
+
+
+def hashes(unit: np.ndarray, functions: int = FUNCTIONS) -> np.ndarray:
+    """(vectors, tables, 1 + PROBES) bucket numbers of 31 bits: the own bucket, then the probes."""
     n, dim = unit.shape
     size = 1 << max(1, (dim - 1).bit_length())
-    tables = tables_of(size)
-    rng = np.random.default_rng([SEED, size])
-    signs = rng.integers(0, 2, (tables, FUNCTIONS, 3, size)) * 2.0 - 1.0
+    tables = tables_of(size, functions)
+    rng = np.random.default_rng([SEED, size] if functions == FUNCTIONS else [SEED, size, functions])
+    signs = rng.integers(0, 2, (tables, functions, 3, size)) * 2.0 - 1.0
     padded = np.zeros((n, size))
     padded[:, :dim] = unit
-    out = np.empty((n, tables, 1 + PROBES), dtype=np.int64)
+    out = np.empty((n, tables, 1 + PROBES), dtype=np.int32)
     # which runner-up each probe takes in each function: 0 best, 1 second, 2 third
-    choices = np.array(np.meshgrid(*[[0, 1, 2]] * FUNCTIONS, indexing="ij")).reshape(FUNCTIONS, -1).T
+    choices = np.array(np.meshgrid(*[[0, 1, 2]] * functions, indexing="ij")).reshape(functions, -1).T
     choices = choices[choices.sum(axis=1).argsort(kind="stable")]
     for t in range(tables):
-        codes = np.empty((n, FUNCTIONS, 3), dtype=np.int64)
-        loss = np.empty((n, FUNCTIONS, 3))
-        for f in range(FUNCTIONS):
+        codes = np.empty((n, functions, 3), dtype=np.int64)
+        loss = np.empty((n, functions, 3))
+        for f in range(functions):
             x = padded
             for r in range(3):
                 x = hadamard(x * signs[t, f, r]) / np.sqrt(size)
@@ -80,51 +90,63 @@ def hashes(unit: np.ndarray) -> np.ndarray:
             value = np.take_along_axis(x, top, axis=1)
             codes[:, f] = 2 * top + (value < 0)
             loss[:, f] = (np.abs(value[:, :1]) - np.abs(value)) ** 2
-        base = np.array([(2 * size) ** f for f in range(FUNCTIONS)])
-        cost = sum(loss[:, f][:, choices[:, f]] for f in range(FUNCTIONS))
-        bucket = sum(codes[:, f][:, choices[:, f]] * base[f] for f in range(FUNCTIONS))
+        base = np.array([(2 * size) ** f for f in range(functions)])
+        cost = sum(loss[:, f][:, choices[:, f]] for f in range(functions))
+        bucket = sum(codes[:, f][:, choices[:, f]] * base[f] for f in range(functions))
+        if (2 * size) ** functions > 1 << 31:  # distinct buckets of a table rarely share a number
+            bucket = (mix(bucket.astype(np.uint64)) >> np.uint64(33)).astype(np.int64)
         order = np.argsort(cost, axis=1, kind="stable")[:, : 1 + PROBES]
         out[:, t] = np.take_along_axis(bucket, order, axis=1)
         out[:, t, 0] = bucket[:, 0]
     return out
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def unit_of(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max()  # no overflow or underflow in the norm
+    return x / np.sqrt(x @ x)
+
+
+def _describe(functions: int, kind: str):
+    """Rows with the vectors as they are (``kind`` is their numpy type) and their buckets."""
     names = ["vec_id", "label", "valid", "dim", "c1", "c2", "vector", "buckets"]
-    for batch in batches:
-        for start in range(0, batch.num_rows, 1024):
-            part = batch.slice(start, 1024)
-            vectors = part.column("embedding").to_pylist()
-            labels = part.column("label").to_pylist()
-            n = len(vectors)
-            valid = np.zeros(n, dtype=bool)
-            dims, c1, c2 = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-            kept: list[bytes | None] = [None] * n
-            buckets: list[list[int] | None] = [None] * n
-            by_dim: dict[int, list[tuple[int, np.ndarray]]] = {}
-            for i, v in enumerate(vectors):
-                if v and labels[i] is not None and not any(x is None for x in v):
-                    x = np.array(v, dtype=np.float64)
-                    if np.isfinite(x).all() and x.any():
-                        x /= np.abs(x).max()  # no overflow or underflow in the norm
-                        by_dim.setdefault(len(v), []).append((i, x / np.sqrt(x @ x)))
-            for dim, found in by_dim.items():
-                at = [i for i, _ in found]
-                unit = np.array([x for _, x in found])
-                bits = np.ascontiguousarray(unit + 0.0).view(np.uint64)
-                weight = mix(np.arange(1, dim + 1, dtype=np.uint64))
-                valid[at], dims[at] = True, dim
-                c1[at] = mix((mix(bits) * weight).sum(axis=1, dtype=np.uint64)).view(np.int64)
-                c2[at] = mix((mix(bits ^ np.uint64(0x5DEECE66D)) * (weight | np.uint64(1))).sum(axis=1, dtype=np.uint64)).view(np.int64)
-                for i, x, h in zip(at, unit, hashes(unit).reshape(len(at), -1), strict=True):
-                    kept[i], buckets[i] = x.tobytes(), h.tolist()
-            yield pa.RecordBatch.from_arrays(
-                [part.column("vec_id"), part.column("label"), pa.array(valid), pa.array(dims), pa.array(c1), pa.array(c2), pa.array(kept, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))],
-                names=names,
-            )
-
-
-def _verify(threshold: float):
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                vectors = part.column("embedding").to_pylist()
+                labels = part.column("label").to_pylist()
+                n = len(vectors)
+                valid = np.zeros(n, dtype=bool)
+                dims, c1, c2 = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+                kept: list[bytes | None] = [None] * n
+                buckets: list[list[int] | None] = [None] * n
+                by_dim: dict[int, list[tuple[int, np.ndarray]]] = {}
+                for i, v in enumerate(vectors):
+                    if v and labels[i] is not None and not any(x is None for x in v):
+                        x = np.array(v, dtype=np.float64)
+                        if np.isfinite(x).all() and x.any():
+                            kept[i] = np.array(v, dtype=kind).tobytes()
+                            by_dim.setdefault(len(v), []).append((i, unit_of(x)))
+                for dim, found in by_dim.items():
+                    at = [i for i, _ in found]
+                    unit = np.array([x for _, x in found])
+                    bits = np.ascontiguousarray(unit + 0.0).view(np.uint64)
+                    weight = mix(np.arange(1, dim + 1, dtype=np.uint64))
+                    valid[at], dims[at] = True, dim
+                    c1[at] = mix((mix(bits) * weight).sum(axis=1, dtype=np.uint64)).view(np.int64)
+                    c2[at] = mix((mix(bits ^ np.uint64(0x5DEECE66D)) * (weight | np.uint64(1))).sum(axis=1, dtype=np.uint64)).view(np.int64)
+                    for i, h in zip(at, hashes(unit, functions).reshape(len(at), -1), strict=True):
+                        buckets[i] = h.tolist()
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("vec_id"), part.column("label"), pa.array(valid), pa.array(dims), pa.array(c1), pa.array(c2), pa.array(kept, pa.binary()), pa.array(buckets, pa.list_(pa.int32()))],
+                    names=names,
+                )
+
+    return run
+
+
+def _verify(threshold: float, kind: str):
     """Rows sorted by task (bucket and pair of chunks): link counts of nodes and spanning links."""
 
     def task(table: int, value: int, first: int, second: int, node, weight, own, chunk, x, h, out: list) -> None:
@@ -145,7 +167,7 @@ def _verify(threshold: float):
                 in_p = (hp[:, :, :1] == hq).any(axis=2)  # q comes to p's own bucket
                 in_q = (hq[:, :, :1] == hp).any(axis=2)
                 here = (in_p | in_q).argmax(axis=1) == table
-                big = np.iinfo(np.int64).max
+                big = np.iinfo(np.int32).max
                 chosen = np.minimum(np.where(in_p[:, table], hp[:, table, 0], big), np.where(in_q[:, table], hq[:, table, 0], big))
                 mine = here & (chosen == value)
                 p, q = p[mine], q[mine]
@@ -169,7 +191,7 @@ def _verify(threshold: float):
             if hi - lo < 2:
                 continue
             c = {k: v[lo:hi] for k, v in columns.items()}
-            x = np.array([np.frombuffer(v, dtype=np.float64) for v in vectors.slice(lo, hi - lo).to_pylist()])
+            x = np.array([unit_of(np.frombuffer(v, dtype=kind).astype(np.float64)) for v in vectors.slice(lo, hi - lo).to_pylist()])
             h = buckets.slice(lo, hi - lo).flatten().to_numpy().reshape(hi - lo, -1, 1 + PROBES)
             order = np.lexsort((~c["own"], c["node"]))
             ranked = c["node"][order]
@@ -197,8 +219,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     """vec_id, n_links, component_id, kept; one row per input row."""
     rows = vectors.select("vec_id", "embedding", "label")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = f"vec_id {kinds['vec_id']}, label {kinds['label']}, valid boolean, dim bigint, c1 bigint, c2 bigint, vector binary, buckets array<bigint>"
-    described = cut(rows.mapInArrow(_describe, schema), "vectors")
+    schema = f"vec_id {kinds['vec_id']}, label {kinds['label']}, valid boolean, dim bigint, c1 bigint, c2 bigint, vector binary, buckets array<int>"
+    kind = "<f4" if kinds["embedding"] == "array<float>" else "<f8"
+    described = cut(rows.mapInArrow(_describe(functions_of(rows.count()), kind), schema), "vectors")
     same = ["label", "dim", "c1", "c2"]
     nodes = (
         described.where("valid").groupBy(*same)
@@ -218,7 +241,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     tasks = tasks.withColumn("task", F.xxhash64(*bucket, "first", "second"))
     loaded = tasks.join(nodes.select("node", "weight", "vector", "buckets"), "node").select("task", "tab", "value", "first", "second", "node", "weight", "own", "chunk", "vector", "buckets", "label", "dim")
     loaded = loaded.repartition("task").sortWithinPartitions("task", "label", "dim").drop("label", "dim")
-    found = cut(loaded.mapInArrow(_verify(threshold), "edge boolean, a bigint, b bigint"), "vector-links")
+    found = cut(loaded.mapInArrow(_verify(threshold, kind), "edge boolean, a bigint, b bigint"), "vector-links")
 
     counts = found.where("not edge").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links"))
     linked = components(found.where("edge").select("a", "b"))

@@ -43,9 +43,9 @@ def op7_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = fresh_path(spark, "warc")
-    warc.write_archives(table(spark, sf_dir, "pages"), path)
-    return warc.page_captures(warc.assembled(warc.read_records(spark, path))).drop("capture_id")
+    path, pages = fresh_path(spark, "warc"), table(spark, sf_dir, "pages")
+    warc.write_archives(pages, path)
+    return warc.page_captures(warc.assembled(warc.read_records(spark, path)), pages.schema["page_id"].dataType.simpleString()).drop("capture_id")
 
 
 def op9_fingerprint_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -170,11 +170,12 @@ def assembled(records: DataFrame) -> DataFrame:
     )
 
 
-def page_captures(captures: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of captures written by write_archives."""
+def page_captures(captures: DataFrame, id_type: str = "bigint") -> DataFrame:
+    """page_id (of ``id_type``, that of the pages), payload_bytes, payload_digest, record_type, refers_to
+    of captures written by write_archives."""
     field = F.map_from_entries("metadata.fields")["page_id"]
     flat = captures.where("response is not null").select(
-        "capture_id", F.when(field != "", field).cast("bigint").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"),
+        "capture_id", F.when(field != "", field).cast(id_type).alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"),
         F.col("response.payload_digest").alias("payload_digest"), F.col("response.record_type").alias("record_type"), F.col("response.refers_to").alias("original"),
     )
     flat = cut(flat, "captures")
