@@ -6,16 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import byte_bpe, fingerprint_dedup, minhash_forest, temperature_mixing, toxicity
-from tidemark.llm.common import cut, table
-
+from tidemark.llm.common import cut, last_path, release, table
 
 #: Rows that a Python worker of the pipeline holds at once; with Arrow's default of 10,000 whole
 #: texts, executors that keep their workers from stage to stage come near their memory's end.
 ARROW_ROWS = "2000"
 
 
+ARROW_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def _small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    """Spark reads the setting when a stage runs, after its function has returned, so a stage
+    leaves it set; run() puts it back."""
+    spark.conf.set(ARROW_SETTING, ARROW_ROWS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _small_batches(spark)
-    return fingerprint_dedup.exact_groups(docs, docs.columns, digest=False).where("kept").select(*docs.columns)
+    return fingerprint_dedup.without_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +60,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """The last stage's rows; what stages write on their way is deleted as soon as the next one has written."""
+    docs, before = table(spark, sf_dir, "documents"), spark.conf.get(ARROW_SETTING)
+    try:
+        for name, stage in STAGES[:-1]:
+            docs = cut(stage(spark, docs, sf_dir), name)
+            release(spark, but=(last_path(),))
+        return STAGES[-1][1](spark, docs, sf_dir)
+    finally:
+        spark.conf.set(ARROW_SETTING, before)
