@@ -6,7 +6,7 @@ import corpus_pipeline
 from tidemark.llm import common
 from tidemark.llm.common import cut
 
-DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint, node string, _row string, s string, tokens string, n string"
+DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint, node string, _row string, score string, tokens string, n string"
 
 
 def test_stages_with_awkward_rows(spark, tmp_path):
@@ -23,6 +23,7 @@ def test_stages_with_awkward_rows(spark, tmp_path):
         counts[name] = docs.count()
         if name != "bpe":
             assert docs.columns == columns
+            assert {tuple(r[5:]) for r in docs.collect()} == {("x", "y", "z", "t", "n")}
         if name == "exact_dedup":
             assert {(r["text"] or "") for r in docs.select("text").collect()} == {(t or "") for _, t in rows}
     # no labels of both classes: nothing is rejected; six texts differ, null counting as empty

@@ -52,6 +52,14 @@ def cut(frame: DataFrame, name: str = "cut") -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, or that with underscores before it, which none of the columns has (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def last_path() -> str:
     """Where the latest cut went."""
     return _written[-1]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, free_name
 
 CHUNK = 1 << 16
 PRIMES = (2147483647, 2147483629)
@@ -153,5 +153,6 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    gone = exact_rows(docs, digest=False).where("not kept").select(F.col("_row").alias("_exact_row"))
-    return docs.withColumn("_exact_row", F.monotonically_increasing_id()).join(gone, "_exact_row", "left_anti").select(*docs.columns)
+    row = free_name(docs.columns, "_row")
+    gone = exact_rows(docs, digest=False).where("not kept").select(F.col("_row").alias(row))
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(gone, row, "left_anti").select(*docs.columns)

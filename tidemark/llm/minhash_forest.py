@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bitmap, components, cut, tidy
+from tidemark.llm.common import bitmap, components, cut, free_name, tidy
 from tidemark.llm.linking import exact_links
 from tidemark.llm.words import mix, sequence_hash, shingle_hashes, word_hashes
 
@@ -346,11 +346,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component that of the smallest doc_id
     (of equal or null ids the first) stays; rows without words stay.  ``docs`` must give
     the same rows in the same partitions when read again, as files do."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    found = cut(near_components(numbered, row="_row").select("_row", "doc_id", "component"), "near")
+    row = free_name(docs.columns, "_row")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    found = cut(near_components(numbered, row=row).select("_row", "doc_id", "component"), "near")
     best = found.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("best"))
     stays = best.select(F.col("best._row").alias("_row")).unionByName(found.where("component is null").select("_row"))
-    return numbered.join(stays, "_row", "left_semi").select(*docs.columns)
+    return numbered.join(stays.withColumnRenamed("_row", row), row, "left_semi").select(*docs.columns)
 
 
 def _large_links(sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:

@@ -54,8 +54,8 @@ def exponent_for(sources: DataFrame, repeat_limit: float, entropy: float | None)
     return high
 
 
-def mixed(docs: DataFrame, carry: list[str], repeat_limit: float = 2.0, entropy: float | None = None, block_tokens: int = 100_000, seed: int = 20) -> DataFrame:
-    """``carry`` columns once per reading, with tokens, mix_weight, mix_epoch and mix_block."""
+def mixed(docs: DataFrame, carry: list[str], repeat_limit: float = 2.0, entropy: float | None = None, block_tokens: int = 100_000, seed: int = 20, added: bool = True) -> DataFrame:
+    """``carry`` columns once per reading, with tokens, mix_weight, mix_epoch and mix_block if ``added``."""
     words = F.greatest(F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint"), F.lit(1))
     place = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
     source = F.struct(F.col("source").alias("name"))
@@ -94,4 +94,5 @@ def mixed(docs: DataFrame, carry: list[str], repeat_limit: float = 2.0, entropy:
     times = F.col("epochs") + F.when(F.coalesce(last, F.lit(False)), 1).otherwise(0)
     out = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)], source.alias("s"), place.alias("_u"), words.alias("tokens")).join(plan, "s")
     out = out.withColumn("_block", F.pmod(F.col("_u"), F.col("blocks"))).withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), times - 1)))
-    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], "tokens", "mix_weight", "mix_epoch", F.col("_block").alias("mix_block"))
+    more = ["tokens", "mix_weight", "mix_epoch", F.col("_block").alias("mix_block")] if added else []
+    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], *more)

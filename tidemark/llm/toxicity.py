@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import tidy
+from tidemark.llm.common import free_name, tidy
 
 WINDOW, STRIDE = 64, 32
 WORD_ROWS, CHAR_ROWS, WIDTH, HIDDEN, ATTENTION = 1 << 15, 1 << 15, 8, 8, 8
@@ -347,6 +347,12 @@ class Scorer:
         return 1 / (1 + np.exp(-best))
 
 
+def clean(docs: DataFrame, labels: DataFrame, below: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose score is below ``below``, with all their columns, whatever their names."""
+    name = free_name(docs.columns, "score")
+    return scored(docs, labels, docs.columns, name).where(F.col(name) < below).select(*docs.columns)
+
+
 def _scoring(net: Network | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = None if net is None else Scorer(net)
@@ -372,9 +378,9 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Network | None:
     return trained((r["text"], int(r["toxic"])) for r in rows.toLocalIterator())
 
 
-def scored(docs: DataFrame, labels: DataFrame, carry: list[str]) -> DataFrame:
-    """``carry`` columns and the score of every row."""
+def scored(docs: DataFrame, labels: DataFrame, carry: list[str], name: str = "score") -> DataFrame:
+    """``carry`` columns and, under ``name`` (none of theirs), the score of every row."""
     rows = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)], F.col("text").alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     found = rows.mapInArrow(_scoring(fitted(docs, labels)), f"{kinds}, score double" if kinds else "score double")
-    return found.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], "score")
+    return found.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], F.col("score").alias(name))
