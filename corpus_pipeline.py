@@ -24,8 +24,7 @@ def _small_batches(spark: SparkSession) -> None:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _small_batches(spark)
-    found = toxicity.scored(docs, table(spark, sf_dir, "labels"), docs.columns)
-    return found.where("score < 0.5").select(*docs.columns)
+    return toxicity.clean(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +38,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return temperature_mixing.mixed(docs, docs.columns).select(*docs.columns)
+    return temperature_mixing.mixed(docs, docs.columns, added=False)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
