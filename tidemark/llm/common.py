@@ -71,12 +71,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def bitmap(values: DataFrame, column: str, most: int) -> bytes:
-    """A bitmap over the low bits of a column of hashes: a power of two of at least eight bits a
+    """A bitmap over the low bits of a column of hashes: a power of two of at least 64 bits a
     row and at most ``most`` bits in all, so its size is measured and bounded.  It only saves
     work: what it lets through is joined exactly, and a full bitmap lets all through."""
     size = 1 << 18
     rows = values.count()
-    while size < min(most, 8 * rows):
+    while size < min(most, 64 * rows):
         size <<= 1
     at = F.col(column).bitwiseAND(size - 1) + 1
     marked = values.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit"))

@@ -31,14 +31,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import bitmap, cut, in_bitmap
 from tidemark.llm.words import mix, shingle_hashes, word_bounds, word_hashes
 
 WINDOW, ANCHOR = 35, 12
-#: Bounds of the two prefilters (128 MB each); they are as large as eight bits an entry need.
+#: Bounds of the two prefilters (128 MB each); they have 64 to 128 bits an entry up to there.
 ANCHOR_BITS, EDGE_BITS = 1 << 30, 1 << 30
 
 
@@ -135,9 +135,13 @@ def _ends(anchor_map: bytes, edge_map: bytes):
     return run
 
 
+def _joined(raw: bytes, low: np.ndarray, high: np.ndarray, first: int, last: int) -> bytes:
+    """The words first..last with one space between them, whatever separates them."""
+    return b" ".join(raw[low[first] : high[last]].split())
+
+
 def _digest(raw: bytes, low: np.ndarray, high: np.ndarray, first: int, last: int) -> bytes:
-    """SHA-256 of the words first..last, whatever separates them."""
-    return hashlib.sha256(b" ".join([raw[low[i] : high[i]] for i in range(first, last + 1)])).digest()
+    return hashlib.sha256(_joined(raw, low, high, first, last)).digest()
 
 
 _SPAN = pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int32()), ("d", pa.binary())]))
@@ -169,12 +173,14 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     depth = np.zeros(n + 1, dtype=np.int64)
                     np.add.at(depth, a, 1)
                     np.add.at(depth, b + WINDOW, -1)
-                    keep = np.flatnonzero(np.cumsum(depth[:n]) == 0)
-                    kept = b" ".join([raw[low[i] : high[i]] for i in keep])
+                    stays = np.concatenate([[False], np.cumsum(depth[:n]) == 0, [False]])
+                    edge = np.flatnonzero(stays[1:] != stays[:-1])
+                    kept = b" ".join([_joined(raw, low, high, i, j - 1) for i, j in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)])
+                    gone = n - int(stays.sum())
                 else:
-                    keep, kept = low, b" ".join(raw.split())
+                    kept, gone = b" ".join(raw.split()), 0
                 n_words.append(n)
-                n_removed.append(n - len(keep))
+                n_removed.append(gone)
                 digest.append(hashlib.sha256(kept).hexdigest())
                 spans.append(found)
                 odd.append(wrong)
@@ -206,19 +212,23 @@ def path_ends(rows: DataFrame) -> DataFrame:
     """(k1, k2, firsts, lasts): window positions at which repeated paths begin (with the path) and end in each text."""
     grams = cut(rows.select("text").mapInArrow(_anchors, "gram bigint").groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "grams")
     anchors = bitmap(grams, "gram", ANCHOR_BITS)
-    before, after = F.struct("bh", "bc"), F.struct("ah", "ac")
+    sides = ("bh", "bc", "ah", "ac")
     edges = rows.select("text").mapInArrow(_edges(anchors), "h bigint, c int, bh bigint, bc int, ah bigint, ac int").groupBy("h", "c").agg(
-        F.count("*").alias("n"), F.min(before).alias("b1"), F.max(before).alias("b2"), F.min(after).alias("a1"), F.max(after).alias("a2")
+        F.count("*").alias("n"), *[f(x).alias(f"{f.__name__}_{x}") for x in sides for f in (F.min, F.max)]
     )
-    only_before = F.when((F.col("b1") == F.col("b2")) & (F.col("b1.bh") != 0), F.struct(F.col("b1.bh").alias("h"), F.col("b1.bc").alias("c")))
-    only_after = F.when((F.col("a1") == F.col("a2")) & (F.col("a1.ah") != 0), F.struct(F.col("a1.ah").alias("h"), F.col("a1.ac").alias("c")))
-    edges = cut(edges.where("n > 1").select(F.struct("h", "c").alias("e"), only_before.alias("before"), only_after.alias("after")), "edges")
+
+    def only(h: str, c: str, x: str) -> Column:
+        """One half of the neighbour on one side, if all places of the window have the same one there."""
+        one = (F.col(f"min_{h}") == F.col(f"max_{h}")) & (F.col(f"min_{c}") == F.col(f"max_{c}")) & (F.col(f"min_{h}") != 0)
+        return F.when(one, F.col(f"min_{x}")).alias(x)
+
+    edges = cut(edges.where("n > 1").select("h", "c", only("bh", "bc", "bh"), only("bh", "bc", "bc"), only("ah", "ac", "ah"), only("ah", "ac", "ac")), "edges")
     # a link x -> y that both ends agree on does not branch
-    forward = edges.where("after is not null").select(F.col("e").alias("x"), F.col("after").alias("y"))
-    backward = edges.where("before is not null").select(F.col("before").alias("x"), F.col("e").alias("y"))
-    links = cut(forward.join(backward, ["x", "y"], "left_semi"), "links")
-    first = edges.join(links.select(F.col("y").alias("e")), "e", "left_anti").select("e.h", "e.c", F.lit(True).alias("first"))
-    last = edges.join(links.select(F.col("x").alias("e")), "e", "left_anti").select("e.h", "e.c", F.lit(False).alias("first"))
+    forward = edges.where("ah is not null").select(F.col("h").alias("xh"), F.col("c").alias("xc"), F.col("ah").alias("yh"), F.col("ac").alias("yc"))
+    backward = edges.where("bh is not null").select(F.col("bh").alias("xh"), F.col("bc").alias("xc"), F.col("h").alias("yh"), F.col("c").alias("yc"))
+    links = cut(forward.join(backward, ["xh", "xc", "yh", "yc"], "left_semi"), "links")
+    first = edges.join(links.select(F.col("yh").alias("h"), F.col("yc").alias("c")), ["h", "c"], "left_anti").select("h", "c", F.lit(True).alias("first"))
+    last = edges.join(links.select(F.col("xh").alias("h"), F.col("xc").alias("c")), ["h", "c"], "left_anti").select("h", "c", F.lit(False).alias("first"))
     ends = cut(first.unionByName(last), "ends")
     found = rows.select("k1", "k2", "text").mapInArrow(_ends(anchors, bitmap(ends.select("h"), "h", EDGE_BITS)), "h bigint, c int, k1 bigint, k2 bigint, at bigint")
     # equal texts report the same places; sets count them once

@@ -47,7 +47,7 @@ BLOCK = 500
 PIVOTS = 16
 AGREE = 62
 ORDER_BYTES = 16
-#: Bound of the prefilter before the sets are read again: 128 MB, as large as eight bits a node need.
+#: Bound of the prefilter before the sets are read again: 128 MB, 64 to 128 bits a node up to there.
 FILTER_BITS = 1 << 30
 
 _rng = np.random.Generator(np.random.PCG64(977))
