@@ -46,9 +46,14 @@ atexit.register(_release_at_exit)
 
 
 def cut(frame: DataFrame, name: str = "cut") -> DataFrame:
-    """Write to the shared folder and read back: a lineage cut that outlives any executor."""
+    """Write to the shared folder and read back: a lineage cut that outlives any executor.
+
+    The shuffles before it are needed no more; the driver's collection lets Spark's cleaner
+    delete their files now, not when the driver next runs short of memory.
+    """
     path = fresh_path(frame.sparkSession, name)
     frame.write.parquet(path)
+    frame.sparkSession.sparkContext._jvm.java.lang.System.gc()
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 

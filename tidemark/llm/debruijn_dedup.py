@@ -38,6 +38,7 @@ from tidemark.llm.common import bitmap, cut, in_bitmap
 from tidemark.llm.words import mix, shingle_hashes, word_bounds, word_hashes
 
 WINDOW, ANCHOR = 35, 12
+MERGED = 1 << 19
 #: Bounds of the two prefilters (128 MB each); they have 64 to 128 bits an entry up to there.
 ANCHOR_BITS, EDGE_BITS = 1 << 30, 1 << 30
 
@@ -84,14 +85,42 @@ def _windows(words: np.ndarray, anchor_bits: np.ndarray) -> tuple[np.ndarray, np
     return *identity(words), possible
 
 
+def _merged(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """(h, c, n, bh, bc, ah, ac) of distinct windows: how often they are there, and their neighbours,
+    0 where there is none or places differ."""
+    order = np.lexsort((columns[1], columns[0]))
+    columns = [x[order] for x in columns]
+    h, c = columns[:2]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])]) if len(h) else np.zeros(0, dtype=bool)
+    first = np.flatnonzero(new)
+    run = np.cumsum(new) - 1
+    out = [h[first], c[first], np.diff(np.append(first, len(h)))]
+    for x, y in (columns[2:4], columns[4:6]):
+        same = np.ones(len(first), dtype=bool)
+        same[run[(x != x[first][run]) | (y != y[first][run])]] = False
+        out += [np.where(same, x[first], 0), np.where(same, y[first], 0)]
+    return out
+
+
 def _edges(anchor_map: bytes):
+    """Possible windows with their neighbours, merged over MERGED of them: a window that a third
+    of all documents share comes to a task of the next stage once for some thousand documents."""
     bits = np.frombuffer(anchor_map, dtype=np.uint8)
     kinds = [np.int64, np.int32] * 3
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[list[np.ndarray]] = [[] for _ in kinds]
+        held = 0
+
+        def merged() -> pa.RecordBatch:
+            found = _merged([np.concatenate(p or [np.zeros(0, dtype=k)]) for p, k in zip(parts, kinds, strict=True)])
+            for p in parts:
+                p.clear()
+            kinds_out = [pa.int64(), pa.int32(), pa.int64(), *[pa.int64(), pa.int32()] * 2]
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(found, kinds_out, strict=True)], names=["h", "c", "n", "bh", "bc", "ah", "ac"])
+
         for batch in batches:
             for start in range(0, batch.num_rows, 128):
-                parts: list[list[np.ndarray]] = [[np.zeros(0, dtype=k)] for k in kinds]
                 for text in batch.column("text").slice(start, 128).to_pylist():
                     words = _words(text)
                     if len(words) < WINDOW:
@@ -102,7 +131,11 @@ def _edges(anchor_map: bytes):
                         beside = np.concatenate([[np.int32(0)], check, [np.int32(0)]])
                         for part, values in zip(parts, (around[at + 1], beside[at + 1], around[at], beside[at], around[at + 2], beside[at + 2]), strict=True):
                             part.append(values)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in parts], names=["h", "c", "bh", "bc", "ah", "ac"])
+                        held += len(at)
+                    if held > MERGED:
+                        yield merged()
+                        held = 0
+        yield merged()
 
     return run
 
@@ -213,8 +246,9 @@ def path_ends(rows: DataFrame) -> DataFrame:
     grams = cut(rows.select("text").mapInArrow(_anchors, "gram bigint").groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "grams")
     anchors = bitmap(grams, "gram", ANCHOR_BITS)
     sides = ("bh", "bc", "ah", "ac")
-    edges = rows.select("text").mapInArrow(_edges(anchors), "h bigint, c int, bh bigint, bc int, ah bigint, ac int").groupBy("h", "c").agg(
-        F.count("*").alias("n"), *[f(x).alias(f"{f.__name__}_{x}") for x in sides for f in (F.min, F.max)]
+    found = rows.select("text").mapInArrow(_edges(anchors), "h bigint, c int, n bigint, bh bigint, bc int, ah bigint, ac int")
+    edges = found.repartition("h", "c").groupBy("h", "c").agg(
+        F.sum("n").alias("n"), *[f(x).alias(f"{f.__name__}_{x}") for x in sides for f in (F.min, F.max)]
     )
 
     def only(h: str, c: str, x: str) -> Column:
