@@ -53,7 +53,8 @@ def cut(frame: DataFrame, name: str = "cut") -> DataFrame:
     """
     path = fresh_path(frame.sparkSession, name)
     frame.write.parquet(path)
-    frame.sparkSession.sparkContext._jvm.java.lang.System.gc()
+    for _ in range(2):  # at the first, the JVM's side of this call still holds the write's plan
+        frame.sparkSession.sparkContext._jvm.java.lang.System.gc()
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
