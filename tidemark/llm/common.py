@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import ctypes
 import gc
+import time
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -54,7 +55,9 @@ def cut(frame: DataFrame, name: str = "cut") -> DataFrame:
     path = fresh_path(frame.sparkSession, name)
     frame.write.parquet(path)
     for _ in range(2):  # at the first, the JVM's side of this call still holds the write's plan
+        gc.collect()
         frame.sparkSession.sparkContext._jvm.java.lang.System.gc()
+        time.sleep(0.2)  # the cleaner works in a thread of its own
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 

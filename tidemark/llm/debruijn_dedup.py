@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import bitmap, cut, in_bitmap
 from tidemark.llm.words import mix, shingle_hashes, word_bounds, word_hashes
 
-WINDOW, ANCHOR = 35, 12
+WINDOW, ANCHOR = 35, 20
 MERGED = 1 << 19
 #: Bounds of the two prefilters (128 MB each); they have 64 to 128 bits an entry up to there.
 ANCHOR_BITS, EDGE_BITS = 1 << 30, 1 << 30
