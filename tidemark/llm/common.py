@@ -61,6 +61,13 @@ def cut(frame: DataFrame, name: str = "cut") -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def small(frame: DataFrame, most: int = 100_000) -> DataFrame:
+    """A cut of the frame, to be broadcast if it has at most ``most`` rows (of a few numbers each);
+    beyond that, joins with it shuffle as Spark sees fit."""
+    frame = cut(frame, "small")
+    return F.broadcast(frame) if frame.count() <= most else frame
+
+
 def free_name(columns: list[str], name: str) -> str:
     """``name``, or that with underscores before it, which none of the columns has (in any case)."""
     taken = {c.lower() for c in columns}

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bitmap, components, cut, free_name, tidy
+from tidemark.llm.common import bitmap, components, cut, free_name, small, tidy
 from tidemark.llm.linking import exact_links
 from tidemark.llm.words import mix, sequence_hash, shingle_hashes, word_hashes
 
@@ -323,12 +323,15 @@ def near_components(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (
     blobs = blobs.groupBy("c1", "c2").agg(F.first("blob").alias("blob"))
     sets = named.join(blobs, ["c1", "c2"]).select("family", "node", "blob")
     sizes = families.join(nodes.select("node", "n"), "node").groupBy("family").agg(F.count("*").alias("m"), F.sum("n").alias("values"))
-    large = cut(sizes.where((F.col("m") > FAMILY) | (F.col("values") > FAMILY_VALUES)), "large")
-
-    ordinary = sets.join(large.select("family"), "family", "left_anti") if not large.isEmpty() else sets
-    links = ordinary.groupBy("family").applyInPandas(_confirm(similarity), "a bigint, b bigint")
-    if not large.isEmpty():
-        links = links.unionByName(_large_links(cut(sets.join(large, "family", "left_semi"), "large-sets"), similarity))
+    large = cut(sizes.where((F.col("m") > FAMILY) | (F.col("values") > FAMILY_VALUES)).select("family", "m"), "large")
+
+    if large.isEmpty():
+        links = sets.groupBy("family").applyInPandas(_confirm(similarity), "a bigint, b bigint")
+    else:
+        sets = cut(sets, "sets")
+        large = small(large)
+        links = sets.join(large, "family", "left_anti").groupBy("family").applyInPandas(_confirm(similarity), "a bigint, b bigint")
+        links = links.unionByName(_large_links(sets.join(large, "family"), similarity))
     linked = components(links)
 
     final = nodes.select("c1", "c2", "n", "least_id", "node").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -355,22 +358,21 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 
 def _large_links(sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Links inside families too large for one task, in blocks of about BLOCK nodes."""
-    count = sets.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = sets.join(count, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    """Links inside families of m nodes, too large for one task, in blocks of about BLOCK nodes."""
+    dealt = sets.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pivot = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks") * F.lit(BLOCK)) < PIVOTS
     everywhere = F.when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     first = dealt.select("family", "node", "blob", F.explode(everywhere).alias("task"))
     links = cut(first.groupBy("family", "task").applyInPandas(_confirm(similarity), "a bigint, b bigint"), "block-links")
 
     label = components(links)
-    known = sets.join(label, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    known = cut(sets.drop("m").join(label, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component"), "known")
     sizes = known.groupBy("family", "part").agg(F.count("*").alias("m"))
     # small parts share blocks, large parts have blocks of their own
     slot = F.when(F.col("m") >= BLOCK, F.struct(F.col("part").alias("p"), F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / BLOCK)).cast("bigint").alias("q"), F.lit(True).alias("alone")))
-    totals = sizes.groupBy("family").agg(F.ceil(F.sum(F.when(F.col("m") < BLOCK, F.col("m")).otherwise(0)) / BLOCK).alias("shared"), F.count("*").alias("parts"))
+    totals = small(sizes.groupBy("family").agg(F.ceil(F.sum(F.when(F.col("m") < BLOCK, F.col("m")).otherwise(0)) / BLOCK).alias("shared"), F.count("*").alias("parts")).where("parts > 1"))
     placed = (
-        known.join(sizes, ["family", "part"]).join(totals, "family").where("parts > 1")
+        known.join(totals, "family").join(sizes, ["family", "part"])
         .withColumn("slot", F.coalesce(slot, F.struct(F.lit(-1).cast("bigint").alias("p"), F.pmod(F.xxhash64("node"), F.greatest("shared", F.lit(1))).cast("bigint").alias("q"), F.lit(False).alias("alone"))))
         .select("family", "node", "blob", "slot")
     )
