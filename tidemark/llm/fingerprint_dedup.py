@@ -27,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, free_name
+from tidemark.llm.common import bitmap, cut, free_name
 
 CHUNK = 1 << 16
 PRIMES = (2147483647, 2147483629)
 ROOTS = (1103515245, 742938285)
+#: Bound of the prefilter before texts are compared: 128 MB, 64 to 128 bits an entry up to there.
+FILTER_BITS = 1 << 30
 #: A text of more bytes is hashed by several tasks.
 LONG = 64 * CHUNK
 
@@ -93,6 +95,44 @@ def _shifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["_row", "a", "b"])
 
 
+def _mark(n, a, b):
+    """What the prefilter of repeated fingerprints goes by: of columns or of numbers."""
+    return a + 31 * b + n
+
+
+def _chunks(passed: bytes):
+    """Chunks of texts whose fingerprint may be repeated, with it."""
+    size = 8 * len(passed)
+    names, kinds = ["_n", "_a", "_b", "chunk_no", "chunk"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        held = 0
+
+        def batch_of() -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+        for batch in batches:
+            column = batch.column("_text")
+            for i in range(len(column)):
+                text = (column[i].as_py() or "").encode()
+                n, a, b = fingerprint(text)
+                at = _mark(n, a, b) % size
+                if not passed[at >> 3] >> (at & 7) & 1:
+                    continue
+                for k in range(0, max(1, len(text)), CHUNK):
+                    rows.append((n, a, b, k // CHUNK, text[k : k + CHUNK]))
+                held += len(text)
+                if held > 8 << 20:
+                    yield batch_of()
+                    rows.clear()
+                    held = 0
+        yield batch_of()
+
+    return run
+
+
 def chunks_of(texts: DataFrame, *carry: str) -> DataFrame:
     """``carry`` columns, chunk_no, chunk and after (bytes that follow it) of each text in ``_text``."""
     data, size = F.encode("_text", "UTF-8"), F.octet_length("_text")
@@ -130,8 +170,11 @@ def exact_rows(docs: DataFrame, digest: bool = True) -> DataFrame:
     repeated = cut(groups.where("group_size > 1"), "repeated")
     members = cut(known.join(repeated, key), "members")
 
-    compared = chunks_of(texts.select("_row", "_text").join(members.select("_row", *key), "_row"), *key).drop("after")
-    compared = compared.groupBy(*key, "chunk_no").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high"))
+    long = F.octet_length("_text") > LONG
+    marks = bitmap(repeated.select(_mark(F.col("_n"), F.col("_a"), F.col("_b")).alias("mark")), "mark", FILTER_BITS)
+    short = texts.select("_text").where(~long).mapInArrow(_chunks(marks), "_n bigint, _a bigint, _b bigint, chunk_no int, chunk binary")
+    huge = chunks_of(texts.select("_row", "_text").where(long).join(members.select("_row", *key), "_row"), *key).drop("after")
+    compared = short.unionByName(huge).groupBy(*key, "chunk_no").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high"))
     unequal = cut(compared.where("low <> high").select(*key).distinct(), "unequal")
     if not unequal.isEmpty():
         apart = members.join(unequal, key, "left_semi")
