@@ -36,6 +36,7 @@ from tidemark.llm.words import mix
 FUNCTIONS, TABLES, PROBES = 3, 12, 6
 CHUNK = 1024
 MANY = 10**8
+DENSE = 256
 SEED = 31
 
 
@@ -50,6 +51,13 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def rotated(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """Rows of x after rounds of random signs and a fast Hadamard transform."""
+    for s in signs:
+        x = hadamard(x * s) / np.sqrt(x.shape[-1])
+    return x
+
+
 def functions_of(rows: int) -> int:
     """Functions a bucket for a table of so many rows: FUNCTIONS, and more beyond MANY rows, so
     that unrelated vectors in a bucket do not grow with the table."""
@@ -70,6 +78,7 @@ def hashes(unit: np.ndarray, functions: int = FUNCTIONS) -> np.ndarray:
     tables = tables_of(size, functions)
     rng = np.random.default_rng([SEED, size] if functions == FUNCTIONS else [SEED, size, functions])
     signs = rng.integers(0, 2, (tables, functions, 3, size)) * 2.0 - 1.0
+    dense = size <= DENSE and n > size  # the unit vectors rotated once make the matrix for all rows
     padded = np.zeros((n, size))
     padded[:, :dim] = unit
     out = np.empty((n, tables, 1 + PROBES), dtype=np.int32)
@@ -80,11 +89,13 @@ def hashes(unit: np.ndarray, functions: int = FUNCTIONS) -> np.ndarray:
         codes = np.empty((n, functions, 3), dtype=np.int64)
         loss = np.empty((n, functions, 3))
         for f in range(functions):
-            x = padded
-            for r in range(3):
-                x = hadamard(x * signs[t, f, r]) / np.sqrt(size)
+            if dense:
+                x = padded @ rotated(np.eye(size), signs[t, f])
+            else:
+                x = rotated(padded, signs[t, f])
             size_of = np.abs(x)
-            top = np.argsort(-size_of, axis=1, kind="stable")[:, : min(3, size)]
+            top = np.argpartition(-size_of, min(2, size - 1), axis=1)[:, : min(3, size)]
+            top = np.take_along_axis(top, np.argsort(-np.take_along_axis(size_of, top, axis=1), axis=1, kind="stable"), axis=1)
             if top.shape[1] < 3:
                 top = np.concatenate([top, top[:, -1:]], axis=1)
             value = np.take_along_axis(x, top, axis=1)
