@@ -177,15 +177,29 @@ def test_archives_of_nothing(spark, tmp_path):
     assert warc.page_captures(warc.assembled(warc.read_records(spark, str(tmp_path / "archive")))).collect() == []
 
 
-def test_reading_pieces_and_members():
+def test_reading_pieces_and_members(spark, tmp_path):
+    """Records in pieces of any size; gzipped files of one member, of many, and plain ones."""
     record = b"WARC/1.1\r\nWARC-Type: metadata\r\nWARC-Record-ID: <a>\r\nContent-Type: application/warc-fields\r\nContent-Length: 6\r\n\r\nk: v\r\n\r\n\r\n"
-    for data in (record * 3, gzip.compress(record) * 3, gzip.compress(record * 3)):
-        whole = b"".join(warc._unpacked(data))
-        for step in (1, 7, 10_000):
-            found = list(warc.records_of(whole[i : i + step] for i in range(0, len(whole), step)))
-            assert [b for _, b in found] == [b"k: v\r\n"] * 3
+    whole = record * 3
+    for step in (1, 7, 10_000):
+        found = list(warc.records_of(whole[i : i + step] for i in range(0, len(whole), step)))
+        assert [b for _, b in found] == [b"k: v\r\n"] * 3
     with pytest.raises(ValueError, match="inside"):
         list(warc.records_of(iter([record[:-9]])))
+    for i, (data, end) in enumerate(((whole, ""), (gzip.compress(record) * 3, ".gz"), (gzip.compress(whole), ".gz"))):
+        (tmp_path / f"part-{i}.warc{end}").write_bytes(data)
+    assert [r["fields"] for r in warc.read_records(spark, str(tmp_path)).collect()] == [{"k": "v"}] * 9
+
+
+def test_blocks_full_of_separators(spark, tmp_path):
+    """Line breaks of every kind, bytes that are no UTF-8 and a block of 20 MB come back as they were."""
+    rng = random.Random(5)
+    blocks = [b"".join(rng.choice((b"\r", b"\n", b"\r\n\r\n", b"x", b"\xff")) for _ in range(rng.randrange(200))) for _ in range(300)]
+    blocks += [b"", b"\r\n\r\n", b"\r\n\r\n" * 5, b"\r\n\r" * 5_000_000]
+    heads = [f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <{i}>\r\nContent-Type: x\r\nContent-Length: {len(b)}\r\n\r\n".encode() for i, b in enumerate(blocks)]
+    (tmp_path / "part-0.gz").write_bytes(gzip.compress(b"".join(h + b + b"\r\n\r\n" for h, b in zip(heads, blocks, strict=True))))
+    found = {r["record_id"]: (r["payload_bytes"], r["payload_digest"]) for r in warc.read_records(spark, str(tmp_path)).collect()}
+    assert found == {f"<{i}>": (len(b), hashlib.sha256(b).hexdigest()) for i, b in enumerate(blocks)}
 
 
 def test_assembly_of_incomplete_captures(spark):

@@ -4,9 +4,11 @@ Each page is a capture of three records: a response (or a revisit), the request
 and a metadata record, the latter two naming the first in WARC-Concurrent-To.
 The archives are gzipped WARC/1.1 files, written by Spark's text sink with the
 record separator as line end; a file holds at most FILE_RECORDS records.
-Reading takes whole files from any store that Spark reads and walks them record by
-record.  Assembly joins the records of a capture through the concurrent-to
-identifiers into one nested row.
+Reading streams gzipped files of any size through Spark's text source, cut at the
+separator, and puts them together again record by record, so a task holds a batch of
+pieces and one record, never a file; only archives that are not gzipped (which Spark
+would split inside records) are read as one value each.  Assembly joins the records
+of a capture through the concurrent-to identifiers into one nested row.
 
 Of equal payloads of at least MIN_REVISIT bytes the record of the smallest page_id
 is the response (null ids last, then input order), the others revisit it.  A null
@@ -17,8 +19,9 @@ written as %0D and %0A.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -90,6 +93,9 @@ def records_of(pieces: Iterator[bytes]) -> Iterator[tuple]:
                 if held.strip():
                     raise ValueError("the archive ends inside a record")
                 return
+        if not held[:end].strip():  # a file's last piece may have got a separator too many
+            del held[: end + 4]
+            continue
         lines = bytes(held[:end]).decode("utf-8", "replace").split(CRLF)
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"not a WARC record: {lines[0][:40]!r}")
@@ -120,38 +126,35 @@ def _row_of(headers: dict[str, str], block: bytes) -> tuple:
     return headers.get("warc-record-id"), kind, headers.get("warc-target-uri"), headers.get("warc-concurrent-to"), headers.get("warc-refers-to"), content, size, digest, list((fields or {}).items())
 
 
-def _unpacked(data: bytes) -> Iterator[bytes]:
-    """The file's bytes in pieces; gzip members may follow one another."""
-    if data[:2] != b"\x1f\x8b":
-        yield data
-        return
-    while data:
-        member = zlib.decompressobj(31)
-        yield member.decompress(data, 1 << 20)
-        while member.unconsumed_tail:
-            yield member.decompress(member.unconsumed_tail, 1 << 20)
-        yield member.flush()
-        data = member.unused_data
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
+    """(file, piece) with the separators that the reader took away; whole files have none to give back."""
+    for batch in batches:
+        ended = CRLF.encode() * 2 if "value" in batch.schema.names else b""
+        content = batch.column("value" if ended else "content")
+        for file, piece in zip(batch.column("file").to_pylist(), content, strict=True):
+            yield file, piece.as_py() + ended
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.string()] * 6 + [pa.int64(), pa.string(), pa.map_(pa.string(), pa.string())]
     names = [c.split()[0] for c in RECORD.replace("map<string,string>", "map").split(", ")]
-    for batch in batches:
-        for i in range(batch.num_rows):
-            rows = []
-            for headers, block in records_of(_unpacked(batch.column("content")[i].as_py())):
-                rows.append(_row_of(headers, block))
-                if len(rows) == 4096:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-                    rows = []
-            if rows:
+    for _, pieces in groupby(_pieces(batches), itemgetter(0)):
+        rows = []
+        for headers, block in records_of(piece for _, piece in pieces):
+            rows.append(_row_of(headers, block))
+            if len(rows) == 4096:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("content").mapInArrow(_parse, RECORD)
+    """The records of the ``part-*`` files in ``path``, gzipped (``.gz``, of one member or many) or plain."""
+    file = F.xxhash64("_metadata.file_path").alias("file")
+    packed = spark.read.option("lineSep", CRLF * 2).option("pathGlobFilter", "part-*.gz").text(path)
+    plain = spark.read.format("binaryFile").option("pathGlobFilter", "part-*[!z]").load(path)
+    return packed.select(F.col("value").cast("binary").alias("value"), file).mapInArrow(_parse, RECORD).unionByName(plain.select("content", file).mapInArrow(_parse, RECORD))
 
 
 def assembled(records: DataFrame) -> DataFrame:
