@@ -49,6 +49,29 @@ def test_full_prefilters_change_nothing(spark, monkeypatch):
     assert removed(spark, texts) == repeats_by_brute_force(texts, 35)
 
 
+@pytest.mark.parametrize("window", [5, 35])
+def test_lists_in_place_of_prefilters(spark, monkeypatch, window):
+    """More repeated grams than the bitmap holds: texts get their own by a semi-join, copies, nulls and short texts too."""
+    monkeypatch.setattr(debruijn_dedup, "ANCHOR_BITS", 0)
+    monkeypatch.setattr(debruijn_dedup, "MERGED", 100)
+    monkeypatch.setattr(debruijn_dedup, "bitmap", None)
+    if window == 5:
+        monkeypatch.setattr(debruijn_dedup, "WINDOW", 5)
+        monkeypatch.setattr(debruijn_dedup, "ANCHOR", 2)
+        texts = texts_of(11, 90)
+    else:
+        rng = random.Random(3)
+        passage = " ".join(f"p{i}" for i in range(50))
+        texts = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(90)) + (f" {passage} end" if i % 4 == 0 else "")) for i in range(30)]
+    texts += [(i, texts[2][1]) for i in range(200, 260)] + [(None, None), (3, ""), (4, "a b")]
+    assert removed(spark, texts) == repeats_by_brute_force(texts, window)
+
+
+def test_lists_of_nothing(spark, monkeypatch):
+    monkeypatch.setattr(debruijn_dedup, "ANCHOR_BITS", -1)
+    assert removed(spark, []) == [] and [r[1:3] for r in removed(spark, [(1, "alone"), (2, None)])] == [(1, 0), (0, 0)]
+
+
 def test_a_very_long_text(spark):
     """A million words, with a passage of 80 words twice in it and once in a short text."""
     rng = random.Random(4)

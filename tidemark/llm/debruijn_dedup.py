@@ -6,7 +6,9 @@ word sequence, at any other place, same document included.
 
 1. Every window has a least ANCHOR-word gram by hash (its minimiser), and equal
    windows have the same one.  Grams are counted; a bitmap over the repeated ones, sized
-   by their number up to ANCHOR_BITS, tells which windows can be repeated.  It only
+   by their number up to ANCHOR_BITS, tells which windows can be repeated.  Of more grams
+   than it holds at FULL bits each, every text gets the list of its repeated ones by a
+   semi-join instead, and in step 3 that of the minimisers of path ends.  Either only
    saves work.
 2. Those windows are counted by 96-bit hash, with the least and largest hash (all 96
    bits) of the windows before and after them.  The repeated ones are the edges that
@@ -41,6 +43,8 @@ WINDOW, ANCHOR = 35, 20
 MERGED = 1 << 19
 #: Bounds of the two prefilters (128 MB each); they have 64 to 128 bits an entry up to there.
 ANCHOR_BITS, EDGE_BITS = 1 << 30, 1 << 30
+#: Bits an entry below which the first would let too much through and lists take its place.
+FULL = 8
 
 
 def _words(text: str | None) -> np.ndarray:
@@ -76,18 +80,60 @@ def identity(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return shingle_hashes(words, WINDOW) | np.uint64(1), (check >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _windows(words: np.ndarray, anchor_bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(window hashes, check hashes, positions of those that can be repeated)."""
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, k1) of the minimisers of texts, merged over MERGED of them, as many texts may be equal."""
+    grams, texts = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+
+    def merged() -> pa.RecordBatch:
+        g, k = np.concatenate(grams), np.concatenate(texts)
+        order = np.lexsort((k, g))
+        g, k = g[order], k[order]
+        new = np.concatenate([[True], (g[1:] != g[:-1]) | (k[1:] != k[:-1])]) if len(g) else np.zeros(0, dtype=bool)
+        del grams[1:], texts[1:]
+        return pa.RecordBatch.from_arrays([pa.array(g[new]), pa.array(k[new])], names=["gram", "k1"])
+
+    held = 0
+    for batch in batches:
+        for text, k1 in zip(batch.column("text"), batch.column("k1").to_pylist(), strict=True):
+            words = _words(text.as_py())
+            if len(words) < WINDOW:
+                continue
+            found, least = anchors_of(words)
+            grams.append(found[np.unique(least)].view(np.int64))
+            texts.append(np.full(len(grams[-1]), k1))
+            held += len(grams[-1])
+            if held > MERGED:
+                yield merged()
+                held = 0
+    yield merged()
+
+
+def _listed(rows: DataFrame, grams: DataFrame) -> DataFrame:
+    """The texts with any of these (distinct) minimisers, and which of them: ``grams``, a text's own at most."""
+    has = rows.select("text", "k1").mapInArrow(_pairs, "gram bigint, k1 bigint").join(grams, "gram", "left_semi")
+    return rows.join(has.groupBy("k1").agg(F.collect_set("gram").alias("grams")), "k1")
+
+
+def _windows(words: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(window hashes, check hashes, positions of those whose minimiser is wanted, their minimisers);
+    ``wanted`` is a bitmap (of bytes) or a list (of 64-bit numbers)."""
     grams, least = anchors_of(words)
-    possible = np.flatnonzero(in_bitmap(anchor_bits, grams)[least])
+    possible = np.flatnonzero((in_bitmap(wanted, grams) if wanted.dtype == np.uint8 else np.isin(grams.view(np.int64), wanted))[least])
     if not len(possible):
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32), possible
-    return *identity(words), possible
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32), possible, np.zeros(0, dtype=np.int64)
+    return *identity(words), possible, grams[least[possible]].view(np.int64)
+
+
+def _texts(part: pa.RecordBatch, bits: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(word hashes, wanted minimisers) of each text: the bitmap's, or the text's own list where there is none."""
+    own = part.column("grams") if bits is None else None
+    for i, text in enumerate(part.column("text").to_pylist()):
+        yield _words(text), bits if own is None else own[i].values.to_numpy()
 
 
 def _merged(columns: list[np.ndarray]) -> list[np.ndarray]:
-    """(h, c, n, bh, bc, ah, ac) of distinct windows: how often they are there, and their neighbours,
-    0 where there is none or places differ."""
+    """(h, c, n, bh, bc, ah, ac, gram if given) of distinct windows: how often they are there, and their
+    neighbours, 0 where there is none or places differ."""
     order = np.lexsort((columns[1], columns[0]))
     columns = [x[order] for x in columns]
     h, c = columns[:2]
@@ -99,14 +145,19 @@ def _merged(columns: list[np.ndarray]) -> list[np.ndarray]:
         same = np.ones(len(first), dtype=bool)
         same[run[(x != x[first][run]) | (y != y[first][run])]] = False
         out += [np.where(same, x[first], 0), np.where(same, y[first], 0)]
-    return out
+    return out + [x[first] for x in columns[6:]]
 
 
-def _edges(anchor_map: bytes):
+_EDGE = "h bigint, c int, n bigint, bh bigint, bc int, ah bigint, ac int"
+
+
+def _edges(anchor_map: bytes | None):
     """Possible windows with their neighbours, merged over MERGED of them: a window that a third
-    of all documents share comes to a task of the next stage once for some thousand documents."""
-    bits = np.frombuffer(anchor_map, dtype=np.uint8)
-    kinds = [np.int64, np.int32] * 3
+    of all documents share comes to a task of the next stage once for some thousand documents.
+    Without a map the texts bring lists, and windows go on with their minimisers."""
+    bits = None if anchor_map is None else np.frombuffer(anchor_map, dtype=np.uint8)
+    kinds = [np.int64, np.int32] * 3 + [np.int64] * (bits is None)
+    names = ["h", "c", "n", "bh", "bc", "ah", "ac", "gram"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list[np.ndarray]] = [[] for _ in kinds]
@@ -116,20 +167,20 @@ def _edges(anchor_map: bytes):
             found = _merged([np.concatenate(p or [np.zeros(0, dtype=k)]) for p, k in zip(parts, kinds, strict=True)])
             for p in parts:
                 p.clear()
-            kinds_out = [pa.int64(), pa.int32(), pa.int64(), *[pa.int64(), pa.int32()] * 2]
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(found, kinds_out, strict=True)], names=["h", "c", "n", "bh", "bc", "ah", "ac"])
+            kinds_out = [pa.int64(), pa.int32(), pa.int64(), *[pa.int64(), pa.int32()] * 2, pa.int64()][: len(found)]
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(found, kinds_out, strict=True)], names=names[: len(found)])
 
         for batch in batches:
             for start in range(0, batch.num_rows, 128):
-                for text in batch.column("text").slice(start, 128).to_pylist():
-                    words = _words(text)
+                for words, wanted in _texts(batch.slice(start, 128), bits):
                     if len(words) < WINDOW:
                         continue
-                    hashes, check, at = _windows(words, bits)
+                    hashes, check, at, gram = _windows(words, wanted)
                     if len(at):
                         around = np.concatenate([[np.uint64(0)], hashes, [np.uint64(0)]]).view(np.int64)
                         beside = np.concatenate([[np.int32(0)], check, [np.int32(0)]])
-                        for part, values in zip(parts, (around[at + 1], beside[at + 1], around[at], beside[at], around[at + 2], beside[at + 2]), strict=True):
+                        columns = (around[at + 1], beside[at + 1], around[at], beside[at], around[at + 2], beside[at + 2], gram)
+                        for part, values in zip(parts, columns[: len(parts)], strict=True):
                             part.append(values)
                         held += len(at)
                     if held > MERGED:
@@ -140,20 +191,19 @@ def _edges(anchor_map: bytes):
     return run
 
 
-def _ends(anchor_map: bytes, edge_map: bytes):
-    bits, wanted = np.frombuffer(anchor_map, dtype=np.uint8), np.frombuffer(edge_map, dtype=np.uint8)
+def _ends(anchor_map: bytes | None, edge_map: bytes | None):
+    bits, ends = (None if m is None else np.frombuffer(m, dtype=np.uint8) for m in (anchor_map, edge_map))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 hs, cs, ats, owner = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-                for i, text in enumerate(part.column("text").to_pylist()):
-                    words = _words(text)
+                for i, (words, wanted) in enumerate(_texts(part, bits)):
                     if len(words) < WINDOW:
                         continue
-                    hashes, check, at = _windows(words, bits)
-                    at = at[in_bitmap(wanted, hashes[at])] if len(at) else at
+                    hashes, check, at, _ = _windows(words, wanted)
+                    at = at[in_bitmap(ends, hashes[at])] if ends is not None and len(at) else at
                     if len(at):
                         hs.append(hashes[at])
                         cs.append(check[at])
@@ -244,11 +294,16 @@ def _exact_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def path_ends(rows: DataFrame) -> DataFrame:
     """(k1, k2, firsts, lasts): window positions at which repeated paths begin (with the path) and end in each text."""
     grams = cut(rows.select("text").mapInArrow(_anchors, "gram bigint").groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "grams")
-    anchors = bitmap(grams, "gram", ANCHOR_BITS)
+    listed = FULL * grams.count() > ANCHOR_BITS
+    own = ["gram"] if listed else []
     sides = ("bh", "bc", "ah", "ac")
-    found = rows.select("text").mapInArrow(_edges(anchors), "h bigint, c int, n bigint, bh bigint, bc int, ah bigint, ac int")
+    if listed:
+        anchors, found = None, _listed(rows, grams).select("text", "grams").mapInArrow(_edges(None), f"{_EDGE}, gram bigint")
+    else:
+        anchors = bitmap(grams, "gram", ANCHOR_BITS)
+        found = rows.select("text").mapInArrow(_edges(anchors), _EDGE)
     edges = found.repartition("h", "c").groupBy("h", "c").agg(
-        F.sum("n").alias("n"), *[f(x).alias(f"{f.__name__}_{x}") for x in sides for f in (F.min, F.max)]
+        F.sum("n").alias("n"), *[f(x).alias(f"{f.__name__}_{x}") for x in sides for f in (F.min, F.max)], *[F.min(x).alias(x) for x in own]
     )
 
     def only(h: str, c: str, x: str) -> Column:
@@ -256,15 +311,19 @@ def path_ends(rows: DataFrame) -> DataFrame:
         one = (F.col(f"min_{h}") == F.col(f"max_{h}")) & (F.col(f"min_{c}") == F.col(f"max_{c}")) & (F.col(f"min_{h}") != 0)
         return F.when(one, F.col(f"min_{x}")).alias(x)
 
-    edges = cut(edges.where("n > 1").select("h", "c", only("bh", "bc", "bh"), only("bh", "bc", "bc"), only("ah", "ac", "ah"), only("ah", "ac", "ac")), "edges")
+    edges = cut(edges.where("n > 1").select("h", "c", *own, only("bh", "bc", "bh"), only("bh", "bc", "bc"), only("ah", "ac", "ah"), only("ah", "ac", "ac")), "edges")
     # a link x -> y that both ends agree on does not branch
     forward = edges.where("ah is not null").select(F.col("h").alias("xh"), F.col("c").alias("xc"), F.col("ah").alias("yh"), F.col("ac").alias("yc"))
     backward = edges.where("bh is not null").select(F.col("bh").alias("xh"), F.col("bc").alias("xc"), F.col("h").alias("yh"), F.col("c").alias("yc"))
     links = cut(forward.join(backward, ["xh", "xc", "yh", "yc"], "left_semi"), "links")
-    first = edges.join(links.select(F.col("yh").alias("h"), F.col("yc").alias("c")), ["h", "c"], "left_anti").select("h", "c", F.lit(True).alias("first"))
-    last = edges.join(links.select(F.col("xh").alias("h"), F.col("xc").alias("c")), ["h", "c"], "left_anti").select("h", "c", F.lit(False).alias("first"))
+    first = edges.join(links.select(F.col("yh").alias("h"), F.col("yc").alias("c")), ["h", "c"], "left_anti").select("h", "c", *own, F.lit(True).alias("first"))
+    last = edges.join(links.select(F.col("xh").alias("h"), F.col("xc").alias("c")), ["h", "c"], "left_anti").select("h", "c", *own, F.lit(False).alias("first"))
     ends = cut(first.unionByName(last), "ends")
-    found = rows.select("k1", "k2", "text").mapInArrow(_ends(anchors, bitmap(ends.select("h"), "h", EDGE_BITS)), "h bigint, c int, k1 bigint, k2 bigint, at bigint")
+    place = "h bigint, c int, k1 bigint, k2 bigint, at bigint"
+    if listed:
+        found = _listed(rows, ends.select("gram").distinct()).select("k1", "k2", "text", "grams").mapInArrow(_ends(None, None), place)
+    else:
+        found = rows.select("k1", "k2", "text").mapInArrow(_ends(anchors, bitmap(ends.select("h"), "h", EDGE_BITS)), place)
     # equal texts report the same places; sets count them once
     return found.join(ends, ["h", "c"]).groupBy("k1", "k2").agg(
         F.collect_set(F.when(F.col("first"), F.struct("at", "h", "c"))).alias("firsts"), F.collect_set(F.when(~F.col("first"), F.col("at"))).alias("lasts")
