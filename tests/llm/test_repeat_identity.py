@@ -8,6 +8,7 @@ import pytest
 from test_dedup import removed, repeats_by_brute_force
 
 from tidemark.llm import debruijn_dedup
+from tidemark.llm.words import BASE, least_positions, mix, shingle_hashes
 
 
 def texts_of(seed, n=60):
@@ -72,6 +73,19 @@ def test_lists_of_nothing(spark, monkeypatch):
     assert removed(spark, []) == [] and [r[1:3] for r in removed(spark, [(1, "alone"), (2, None)])] == [(1, 0), (0, 0)]
 
 
+@pytest.mark.parametrize("k", [1, 2, 3, 5, 16, 20, 35])
+def test_hashes_of_runs_and_least_positions(k):
+    rng = np.random.default_rng(k)
+    for n in (0, k - 1, k, k + 1, 3 * k, 500):
+        words = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+        runs = [0 if n < k else sum(int(w) * pow(BASE, k - 1 - j, 1 << 64) for j, w in enumerate(words[i : i + k])) for i in range(max(0, n - k + 1))]
+        want = mix(np.array([(r + k) % (1 << 64) for r in runs], dtype=np.uint64))
+        assert (shingle_hashes(words, k) == want).all() and len(shingle_hashes(words, k)) == len(want)
+        few = words % np.uint64(4)
+        if n >= k:
+            assert least_positions(few, k).tolist() == [i + int(few[i : i + k].argmin()) for i in range(n - k + 1)]
+
+
 def test_a_very_long_text(spark):
     """A million words, with a passage of 80 words twice in it and once in a short text."""
     rng = random.Random(4)

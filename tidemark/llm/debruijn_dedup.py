@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import bitmap, cut, in_bitmap
-from tidemark.llm.words import mix, shingle_hashes, word_bounds, word_hashes
+from tidemark.llm.words import least_positions, mix, shingle_hashes, word_bounds, word_hashes
 
 WINDOW, ANCHOR = 35, 20
 MERGED = 1 << 19
@@ -54,12 +54,7 @@ def _words(text: str | None) -> np.ndarray:
 def anchors_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(gram hashes, for each window the position of its least gram)."""
     grams = shingle_hashes(words, ANCHOR)
-    n, width = len(words) - WINDOW + 1, WINDOW - ANCHOR + 1
-    least = np.empty(n, dtype=np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(grams, width)
-    for at in range(0, n, 1 << 16):
-        least[at : at + (1 << 16)] = view[at : at + (1 << 16)].argmin(axis=1)
-    return grams, least + np.arange(n)
+    return grams, least_positions(grams, WINDOW - ANCHOR + 1)
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -77,13 +77,27 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    out = np.zeros(n, dtype=np.uint64)
-    for i in range(k):
-        out *= np.uint64(BASE)
-        out += words[i : i + n]
+    out, length = words, 1
+    for bit in bin(k)[3:]:  # from runs of some length to twice that, and one word more where k's bit is set
+        out = out[:-length] * np.uint64(pow(BASE, length, 1 << 64)) + out[length:]
+        length *= 2
+        if bit == "1":
+            out = out[:-1] * np.uint64(BASE) + words[length:]
+            length += 1
     return mix(out + np.uint64(k))
 
 
+def least_positions(values: np.ndarray, width: int) -> np.ndarray:
+    """Position of the first least value in every run of ``width`` values."""
+    at, least, length = np.arange(len(values)), values, 1
+    while length < width:
+        step = min(length, width - length)
+        later = least[step:] < least[:-step]
+        at, least = np.where(later, at[step:], at[:-step]), np.where(later, least[step:], least[:-step])
+        length += step
+    return at
+
+
 def sequence_hash(words: np.ndarray) -> int:
     """Hash of the whole word sequence."""
     n = len(words)
