@@ -7,12 +7,18 @@ import contextlib
 import ctypes
 import gc
 import time
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import sources
+from tidemark.llm.linking import roots_of
+
+#: Links (of two numbers) that one task joins; beyond that they are joined in distributed rounds.
+ONE_TASK = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,7 +103,9 @@ def bitmap(values: DataFrame, column: str, most: int) -> bytes:
     at = F.col(column).bitwiseAND(size - 1) + 1
     marked = values.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit"))
     out = np.zeros(size // 8, dtype=np.uint8)
-    for row in marked.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map")).toLocalIterator():
+    maps = marked.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map"))
+    # the iterator runs a job for each partition: one for each 4 MB, not one for each shuffle partition
+    for row in maps.repartition(max(1, size >> 25)).toLocalIterator():
         first = (int(row["bucket"]) - 1) * 4096
         out[first : first + 4096] |= np.frombuffer(row["map"], dtype=np.uint8)
     return out.tobytes()
@@ -123,9 +131,16 @@ def components(edges: DataFrame) -> DataFrame:
     Components in MapReduce and Beyond, 2014) until every component is a star.
     Nodes without a link to another node do not occur.  Nothing is collected:
     each round is two joins on the node, written to the shared folder.
+
+    Up to ONE_TASK links are joined by one task instead: the driver keeps what it knows of
+    each stage and task, and the rounds have some ten stages each of as many tasks as there
+    are shuffle partitions, however few the links.
     """
     spark = edges.sparkSession
     star, first = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"), True
+    if star.count() <= ONE_TASK:
+        kind = star.schema["u"].dataType.simpleString()
+        return star.repartition(1).mapInArrow(_joined, f"node {kind}, component {kind}")
     last = last_path()
     while not star.isEmpty() and (first or not _is_star(star)):
         first = False
@@ -142,6 +157,18 @@ def components(edges: DataFrame) -> DataFrame:
     return star.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(star.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of all links (u, v) given."""
+    ends: list[list[np.ndarray]] = [[np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]]
+    for batch in batches:
+        for side, column in zip(ends, batch.columns, strict=True):
+            side.append(column.to_numpy(zero_copy_only=False))
+    u, v = map(np.concatenate, ends)
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    root = roots_of(len(nodes), at[: len(u)], at[len(u) :])
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["node", "component"])
+
+
 def _is_star(star: DataFrame) -> bool:
     roles = star.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("low"), F.lit(0).alias("top")), F.struct(F.col("v").alias("x"), F.lit(0).alias("low"), F.lit(1).alias("top")))).alias("r")).select("r.*")
     return roles.groupBy("x").agg(F.sum("low").alias("low"), F.max("top").alias("top")).where("low > 1 or (low > 0 and top > 0)").isEmpty()

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import free_name, tidy
+from tidemark.llm.common import cut, free_name, tidy
 
 WINDOW, STRIDE = 64, 32
 WORD_ROWS, CHAR_ROWS, WIDTH, HIDDEN, ATTENTION = 1 << 15, 1 << 15, 8, 8, 8
@@ -38,6 +38,8 @@ STEP_WINDOWS = 1024
 EPOCHS, STEPS = 3, 300
 KNOWN_WORDS = 150_000
 GROUP = 512
+#: Bytes of text that one job of the training sample brings to the driver.
+READ_BYTES = 4 << 20
 
 _words = re.compile(r"[^\W_]+").findall
 
@@ -374,8 +376,25 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Network | None:
     learn = labels.where("doc_id is not null and toxic is not null").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).select("doc_id", "toxic").distinct()
     picked = [learn.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for label, most in ((1, TOXIC), (0, CLEAN))]
     sample = F.broadcast(picked[0].unionByName(picked[1]))  # TOXIC + CLEAN rows of two numbers at most
-    rows = docs.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id")
-    return trained((r["text"], int(r["toxic"])) for r in rows.toLocalIterator())
+    rows = docs.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
+    found = trained(_in_order(cut(rows, "sample")))
+    tidy()
+    return found
+
+
+def _in_order(rows: DataFrame) -> Iterator[tuple[str | None, int]]:
+    """(text, toxic) of the sample by doc_id.  A job reads what READ_BYTES hold (or one text), however
+    the rows are partitioned."""
+    sizes = sorted((r["doc_id"], r["size"]) for r in rows.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).collect())
+    at = 0
+    while at < len(sizes):
+        end, held = at + 1, sizes[at][1]
+        while end < len(sizes) and held + sizes[end][1] <= READ_BYTES:
+            held += sizes[end][1]
+            end += 1
+        part = rows.where(F.col("doc_id").between(sizes[at][0], sizes[end - 1][0])).collect()
+        yield from ((r["text"], int(r["toxic"])) for r in sorted(part, key=lambda r: r["doc_id"]))
+        at = end
 
 
 def scored(docs: DataFrame, labels: DataFrame, carry: list[str], name: str = "score") -> DataFrame:
